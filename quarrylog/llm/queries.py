@@ -1,9 +1,10 @@
 """The queries and SQL of this subpackage, for __spark_entry__.py."""
 
-from quarrylog.llm import mixing, sharding
+from quarrylog.llm import mixing, sharding, simhash
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op5_simhash": simhash.op5_simhash,
     "op7_sharding": sharding.op7_sharding,
 }
 ORACLE_SQL = {
