@@ -1,8 +1,9 @@
 """The queries and SQL of this subpackage, for __spark_entry__.py."""
 
-from quarrylog.llm import mixing, sharding, simhash
+from quarrylog.llm import mixing, sharding, simhash, token_files
 
 QUERIES = {
+    "op2_token_files": token_files.op2_token_files,
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash": simhash.op5_simhash,
     "op7_sharding": sharding.op7_sharding,
