@@ -42,8 +42,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The planner's estimate of df's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The planner's estimate of df's size; 0 where it knows none (rows made in the driver)."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else 0
 
 
 def partitions(df: DataFrame, per: int = 8 << 20, least: int = 16) -> int:

@@ -1,12 +1,13 @@
 """The queries and SQL of this subpackage, for __spark_entry__.py."""
 
-from quarrylog.llm import mixing, sharding, simhash, token_files
+from quarrylog.llm import bpe, mixing, sharding, simhash, token_files
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash": simhash.op5_simhash,
     "op7_sharding": sharding.op7_sharding,
+    "op8_bpe": bpe.op8_bpe,
 }
 ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,

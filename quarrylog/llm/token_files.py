@@ -23,6 +23,7 @@ nothing and give no rows. Columns other than doc_id and text are left out.
 from __future__ import annotations
 
 import functools
+import os
 import struct
 import uuid
 import zlib
@@ -118,6 +119,7 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer whose pieces hold no white space, by way of the distinct words."""
 
     def __init__(self, tokenizer_file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
