@@ -1,6 +1,6 @@
 """The queries and SQL of this subpackage, for __spark_entry__.py."""
 
-from quarrylog.llm import bpe, mixing, sharding, simhash, token_files
+from quarrylog.llm import bpe, mixing, sharding, simhash, token_files, topk
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
@@ -8,7 +8,9 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe": bpe.op8_bpe,
+    "op10_topk": topk.op10_topk,
 }
 ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,
+    "op10_topk": topk.OP10_SQL,
 }
