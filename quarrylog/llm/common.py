@@ -65,3 +65,20 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 def batches(rows: Iterator[dict[str, list]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for r in rows:
         yield pa.RecordBatch.from_arrays([pa.array(r[f.name], f.type) for f in schema], schema=schema)
+
+
+class Numbers(dict):
+    """Numbers keys as they are first asked for; `new` lists them in that order until it is taken."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+    def take(self) -> list:
+        new, self.new = self.new, []
+        return new

@@ -35,11 +35,11 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylog.llm.common import column, new_path, partitions, session, texts, written
+from quarrylog.llm.common import Numbers, column, new_path, partitions, session, texts, written
 
 END_ID = 2
 #: Most words a worker remembers; then it starts anew.
-WORDS = 600_000
+WORDS = 1_500_000
 MAGIC = b"TOKREC1\0"
 _MASK = 0xA282EAD8
 
@@ -127,53 +127,66 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.cores: dict[bytes, list[int]] = {}
+        self.at = Numbers()
         self.flat = np.empty(1 << 16, np.uint32)
-        self.start, self.length, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-
-    def _ids(self, words: list[bytes]) -> list[list[int]]:
-        # sentence marks after a word are pieces of their own, so the word before them is looked up without them
-        cut = [w.rstrip(b".,") or w for w in words]
-        new = list(dict.fromkeys(w for part in (cut, (w[len(c) :] for w, c in zip(words, cut, strict=True))) for w in part if w not in self.cores and w))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self.cores[w] = e.ids
-        return [self.cores[c] + self.cores[w[len(c) :]] if len(c) < len(w) and c[-1:].isalnum() else self._whole(w, c) for w, c in zip(words, cut, strict=True)]
-
-    def _whole(self, word: bytes, core: bytes) -> list[int]:
-        if len(core) == len(word):
-            return self.cores[core]
-        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-
-    def _learn(self, words: list[bytes]) -> None:
-        for w, ids in zip(words, self._ids(words), strict=True):
-            n, k = len(ids), len(self.at)
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if k >= len(self.start):
-                self.start, self.length = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.length, np.zeros_like(self.length)])
-            self.flat[self.used : self.used + n] = ids
-            self.start[k], self.length[k] = self.used, n
-            self.used += n
-            self.at[w] = k
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used = self.known = 0
+
+    def _add(self, words: list[bytes]) -> None:
+        """Encodes words that have their numbers already."""
+        flat: list[int] = []
+        lengths = []
+        for at in range(0, len(words), 10_000):
+            for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[at : at + 10_000]], add_special_tokens=False):
+                ids = e.ids
+                flat += ids
+                lengths.append(len(ids))
+        self._append(np.array(flat, np.uint32), np.array(lengths, np.int64), np.fromiter(map(self.at.__getitem__, words), np.int64, len(words)))
+
+    def _append(self, flat: np.ndarray, lengths: np.ndarray, numbers: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.at) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.length[numbers] = lengths
+        self.used += len(flat)
+
+    def _learn(self, new: list[bytes]) -> None:
+        # sentence marks after a letter or digit are pieces of their own, so only what stands before them is encoded
+        marked = [w for w in new if w[-1] in b".," and w.rstrip(b".,")[-1:].isalnum()]
+        whole = [w for w in new if not (w[-1] in b".," and w.rstrip(b".,")[-1:].isalnum())]
+        cores = [w.rstrip(b".,") for w in marked]
+        find = self.at.__getitem__
+        core = np.fromiter(map(find, cores), np.int64, len(cores))
+        tail = np.fromiter((find(w[len(c) :]) for w, c in zip(marked, cores, strict=True)), np.int64, len(cores))
+        self._add(whole + self.at.take())
+        if marked:
+            both = np.stack([core, tail], 1).reshape(-1)
+            lengths = self.length[core] + self.length[tail]
+            self._append(self._gather(both), lengths, np.fromiter(map(find, marked), np.int64, len(marked)))
+
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        n = self.length[numbers]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.start[numbers] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def encode_all(self, some: list[str]) -> Iterator[np.ndarray]:
-        # ASCII letters are lower-cased here already, as the tokenizer would; fewer words are distinct then.
-        # Special tokens are matched before lower-casing, so texts that may hold one stay as they are.
-        split = [(b if b"<|" in b else b.lower()).split() for b in (t.encode("utf-8", "replace") for t in some)]
         if len(self.at) > WORDS:
             self._forget()
-        new: set[bytes] = set()
-        for words in split:
-            new.update(words)
-        self._learn([w for w in new if w not in self.at])
         find = self.at.__getitem__
-        for words in split:
-            k = np.fromiter(map(find, words), np.int64, len(words))
-            n = self.length[k]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            yield self.flat[np.repeat(self.start[k] - (ends - n), n) + np.arange(total)]
+        numbers = []
+        for t in some:
+            b = t.encode("utf-8", "replace")
+            # ASCII letters are lower-cased here already, as the tokenizer would; fewer words are distinct then.
+            # Special tokens are matched before lower-casing, so texts that may hold one stay as they are.
+            words = (b if b"<|" in b else b.lower()).split()
+            numbers.append(np.fromiter(map(find, words), np.int64, len(words)))
+        if new := self.at.take():
+            self._learn(new)
+        for k in numbers:
+            yield self._gather(k)
 
 
 @functools.lru_cache(maxsize=1)
