@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylog.llm.common import column, partitions, plan_bytes, session, texts
+from quarrylog.llm.common import Numbers, column, partitions, plan_bytes, session, texts
 
 #: Bytes of text in a block, about. A longer text is a block alone.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Ends a word in a packed list; no UTF-8 text holds this byte.
 END = b"\xff"
 
@@ -100,18 +100,26 @@ def split(text: str, special: re.Pattern | None = None) -> list[str]:
     return [w for k, part in enumerate(special.split(text)) for w in ([part] if k % 2 else _split_plain(part))]
 
 
+@functools.lru_cache(maxsize=1)
+def _zstd() -> tuple:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _packed(codes: np.ndarray) -> bytes:
     """Byte planes: they compress better than whole numbers."""
-    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return _zstd()[0].compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
+    data = _zstd()[1].decompress(data)
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
 class _Block:
     def __init__(self):
-        self.word: dict[str, int] = {}
+        self.word = Numbers()
         self.codes: list[np.ndarray] = []
         self.doc_ids: list = []
         self.n_words: list[int] = []
@@ -119,10 +127,7 @@ class _Block:
 
     def add(self, doc_id, text: str, special) -> None:
         words = split(text, special)
-        find = self.word
-        for w in set(words).difference(find):
-            find[w] = len(find)
-        self.codes.append(np.fromiter(map(find.__getitem__, words), np.uint32, len(words)))
+        self.codes.append(np.fromiter(map(self.word.__getitem__, words), np.uint32, len(words)))
         self.doc_ids.append(doc_id)
         self.n_words.append(len(words))
         self.bytes += len(text)
@@ -135,7 +140,7 @@ class _Block:
         place[order] = np.arange(len(words))
         codes = np.concatenate(self.codes) if self.codes else np.empty(0, np.int64)
         found, first = np.unique(bucket[order], return_index=True)
-        lists = [{"bucket": int(b), "words": END.join(words[k] for k in some)} for b, some in zip(found, np.split(order, first[1:]), strict=True)] if len(words) else []
+        lists = [{"bucket": int(b), "words": _zstd()[0].compress(END.join(words[k] for k in some))} for b, some in zip(found, np.split(order, first[1:]), strict=True)] if len(words) else []
         return {"block": [block], "doc_ids": [self.doc_ids], "n_words": [self.n_words], "codes": [_packed(place[codes] if len(codes) else codes)], "lists": [lists]}
 
 
@@ -171,7 +176,7 @@ def _encode_lists(file: str):
         flat_array = start_array = length_array = None
         for b in batches:
             for block, bucket, packed in zip(column(b, "block"), column(b, "bucket"), column(b, "words"), strict=True):
-                words = packed.split(END)
+                words = _zstd()[1].decompress(packed).split(END)
                 new = [w for w in words if w not in known]
                 for at in range(0, len(new), 20_000):
                     some = new[at : at + 20_000]
