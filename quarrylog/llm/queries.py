@@ -1,16 +1,18 @@
 """The queries and SQL of this subpackage, for __spark_entry__.py."""
 
-from quarrylog.llm import bpe, mixing, sharding, simhash, token_files, topk
+from quarrylog.llm import bpe, mixing, neighbours, sharding, simhash, token_files, topk
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash": simhash.op5_simhash,
+    "op6_neighbours": neighbours.op6_neighbours,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe": bpe.op8_bpe,
     "op10_topk": topk.op10_topk,
 }
 ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,
+    "op6_neighbours": neighbours.OP6_SQL,
     "op10_topk": topk.OP10_SQL,
 }
