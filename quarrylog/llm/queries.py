@@ -1,9 +1,10 @@
 """The queries and SQL of this subpackage, for __spark_entry__.py."""
 
-from quarrylog.llm import bpe, mixing, neighbours, sharding, simhash, token_files, topk
+from quarrylog.llm import bpe, language, mixing, neighbours, sharding, simhash, token_files, topk
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
+    "op3_language": language.op3_language,
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash": simhash.op5_simhash,
     "op6_neighbours": neighbours.op6_neighbours,
