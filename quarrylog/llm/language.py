@@ -67,6 +67,10 @@ def vector(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / max(np.linalg.norm(v), 1e-12)
 
 
+def eased(n: np.ndarray) -> np.ndarray:
+    return np.minimum(1.0, np.sqrt(np.maximum(n, 1) / ENOUGH))
+
+
 def held_out(doc_id: str = "doc_id", folds: int = FOLDS):
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")), F.lit(folds)) == 0
 
@@ -84,7 +88,7 @@ class Centroids:
         for k in range(len(self.languages)):
             mine = m[of == k]
             centers = self._means(mine, min(clusters, len(mine)), seed)
-            near = (mine @ centers.T).max(1)
+            near = (mine @ centers.T).max(1) / eased(found[of == k].sum(1))
             self.centroids += list(centers)
             self.of += [k] * len(centers)
             self.least += [SLACK * float(np.quantile(near, 1 - KEPT))] * len(centers)
@@ -107,7 +111,7 @@ class Centroids:
         found = counts(text)
         cosines = self.centroids @ vector(found, self.idf).astype(np.float32)
         best = int(cosines.argmax())
-        least = self.least[best] * min(1.0, float(np.sqrt(found.sum() / ENOUGH)))
+        least = self.least[best] * eased(found.sum())
         return self.languages[self.of[best]], float(min(1.0, max(0.0, cosines[best]))), bool(cosines[best] < least)
 
 
