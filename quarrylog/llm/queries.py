@@ -1,8 +1,9 @@
 """The queries and SQL of this subpackage, for __spark_entry__.py."""
 
-from quarrylog.llm import bpe, language, mixing, neighbours, sharding, simhash, token_files, topk
+from quarrylog.llm import bpe, language, mixing, neighbours, pii, sharding, simhash, token_files, topk
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_token_files": token_files.op2_token_files,
     "op3_language": language.op3_language,
     "op4_mixing": mixing.op4_mixing,
