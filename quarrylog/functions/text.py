@@ -22,6 +22,15 @@ ERROR_LEVELS = ("ERROR", "CRITICAL", "FATAL")
 _SEPARATORS = ("Cc", "Zl", "Zp")
 
 
+def arrow(kind: str):
+    """An Arrow function of columns. It is made when it is called: workers import these modules without a session."""
+
+    def wrap(function):
+        return lambda *columns: F.arrow_udf(function, kind)(*columns)
+
+    return wrap
+
+
 def _nfkc(value: str, drop: tuple[str, ...], space: tuple[str, ...] = ()) -> str:
     """NFKC without the characters of the categories `drop`, those of `space` becoming spaces."""
     kinds = unicodedata.category
@@ -60,7 +69,7 @@ def filter_message_text(value: str) -> str:
 def _exact(function, column: Column, native) -> Column:
     """native(column) for ASCII values, `function` over Arrow for the others."""
 
-    @F.arrow_udf("string")
+    @arrow("string")
     def over(values: pa.Array) -> pa.Array:
         return pa.array([None if v is None else function(v) for v in values.to_pylist()], pa.string())
 
@@ -72,6 +81,11 @@ def strip(column: Column) -> Column:
     return F.regexp_replace(column, f"^{ASCII_SPACE}+|{ASCII_SPACE}+$", "")
 
 
+def stripped(column: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return _exact(str.strip, column, strip)
+
+
 def _spaced(column: Column) -> Column:
     return F.trim(F.regexp_replace(column, r"[\x00-\x20\x7f]+", " "))
 

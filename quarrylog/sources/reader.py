@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.functions.text import event_source
+from quarrylog.functions.text import arrow, event_source
 from quarrylog.sources import native
 from quarrylog.sources.exact import PARSERS
 
@@ -76,7 +76,7 @@ def _python(format: str):
         clean = lambda s: None if s is None else s.encode("utf-8", "replace").decode()  # noqa: E731  lone surrogates
         return {"message": clean(message), "level": level, "micros": micros, "source": clean(source), "fields": [(clean(k), clean(v)) for k, v in fields.items()]}
 
-    @F.arrow_udf(_PARSED)
+    @arrow(_PARSED)
     def run(raw: pa.Array, provenance: pa.Array) -> pa.Array:
         kind = pa.struct([("error", pa.string()), ("message", pa.string()), ("level", pa.string()), ("micros", pa.int64()), ("source", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
         return pa.array([one(r, p) for r, p in zip(raw.to_pylist(), provenance.to_pylist(), strict=True)], kind)
