@@ -66,12 +66,12 @@ def _about(source: Column, scoring: ScoringConfig) -> Column:
 
 
 def message_counts(events: DataFrame) -> DataFrame:
-    """source, level, key (normalised message, maybe empty), n, evidence (the first such message, stripped)."""
+    """source, level, key (normalised message, maybe empty), n, evidence (the first such message, stripped), ord (its place)."""
     if "ord" not in events.columns:
         events = events.withColumn("ord", F.monotonically_increasing_id())
     first = F.min_by(text.stripped(F.col("message")), F.col("ord"))
     keys = (text.rule_source(F.col("source")).alias("source"), text.level_key(F.col("level")).alias("level"), text.rule_message(F.col("message")).alias("key"))
-    return events.groupBy(*keys).agg(F.count("*").alias("n"), first.alias("evidence"))
+    return events.groupBy(*keys).agg(F.count("*").alias("n"), first.alias("evidence"), F.min("ord").alias("ord"))
 
 
 def source_totals(counts: DataFrame) -> DataFrame:
@@ -130,17 +130,20 @@ def repeated_messages(counts: DataFrame, *, repeat_threshold: int = 5, scoring:
 STRETCH = 64
 
 
-def bursts(events: DataFrame, *, burst_window_seconds: int = 60, overrides: Overrides | None = None) -> DataFrame:
+def error_moments(events: DataFrame) -> DataFrame:
+    """source, t (microseconds), n: the errors of each moment."""
+    errors = events.where(text.is_error(text.level_key(F.col("level"))) & F.col("timestamp").isNotNull())
+    return errors.groupBy(text.rule_source(F.col("source")).alias("source"), F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t")).agg(F.count("*").alias("n"))
+
+
+def bursts(moments: DataFrame, *, burst_window_seconds: int = 60, overrides: Overrides | None = None) -> DataFrame:
     """source, n, span (microseconds): the most errors in any closed interval of the window's length, and the least span that holds so many.
 
     A moment's errors enter a running sum at its time and leave just after the window's length; the sum then is the count of the
     window that ends there, at a constant cost for each moment. Time is cut into stretches, each with the window before it as
-    context, so that a source with most errors still spreads over tasks. Equal moments are summed before.
+    context, so that a source with most errors still spreads over tasks. Equal moments are summed before (error_moments).
     """
-    source = text.rule_source(F.col("source"))
-    errors = events.where(text.is_error(text.level_key(F.col("level"))) & F.col("timestamp").isNotNull())
-    at = errors.groupBy(source.alias("source"), F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t")).agg(F.count("*").alias("n"))
-    at = at.withColumn("w", limit_of("burst_window_seconds", burst_window_seconds, overrides, F.col("source")).cast("long") * 1_000_000)
+    at = moments.withColumn("w", limit_of("burst_window_seconds", burst_window_seconds, overrides, F.col("source")).cast("long") * 1_000_000)
     own = F.floor(F.col("t") / (F.col("w") * STRETCH)).cast("long")
     again = (own + 1) * F.col("w") * STRETCH - F.col("t") <= F.col("w")
     at = at.withColumn("own", own).withColumn("stretch", F.explode(F.when(again, F.array(own, own + 1)).otherwise(F.array(own))))
@@ -157,12 +160,12 @@ def bursts(events: DataFrame, *, burst_window_seconds: int = 60, overrides: Over
 
 
 def error_bursts(
-    events: DataFrame, counts: DataFrame, *, burst_threshold: int = 5, burst_window_seconds: int = 60, scoring: ScoringConfig | None = None, overrides: Overrides | None = None
+    moments: DataFrame, counts: DataFrame, *, burst_threshold: int = 5, burst_window_seconds: int = 60, scoring: ScoringConfig | None = None, overrides: Overrides | None = None
 ) -> DataFrame:
     scoring, source = scoring or ScoringConfig(), F.col("source")
     limit = limit_of("burst_threshold", burst_threshold, overrides, source)
     window = limit_of("burst_window_seconds", burst_window_seconds, overrides, source)
-    found = bursts(events, burst_window_seconds=burst_window_seconds, overrides=overrides).where(F.col("n") >= limit)
+    found = bursts(moments, burst_window_seconds=burst_window_seconds, overrides=overrides).where(F.col("n") >= limit)
     totals = source_totals(counts).select(source.alias("_s"), "total")
     found = found.join(totals, source.eqNullSafe(F.col("_s"))).drop("_s")
     message = F.concat(
@@ -199,12 +202,21 @@ def all_findings(
     scoring: ScoringConfig | None = None, source_overrides: Overrides | None = None, known: DataFrame | None = None,
 ) -> DataFrame:
     """The findings of all rules (novel messages if there is a corpus), with the columns ORDER."""
-    check_thresholds(error_threshold=error_threshold, repeat_threshold=repeat_threshold, burst_threshold=burst_threshold, burst_window_seconds=burst_window_seconds)
-    counts, more = message_counts(events), {"scoring": scoring, "overrides": source_overrides}
+    thresholds = {"error_threshold": error_threshold, "repeat_threshold": repeat_threshold, "burst_threshold": burst_threshold, "burst_window_seconds": burst_window_seconds}
+    check_thresholds(**thresholds)
+    return findings_of(message_counts(events), error_moments(events), **thresholds, scoring=scoring, source_overrides=source_overrides, known=known)
+
+
+def findings_of(
+    counts: DataFrame, moments: DataFrame, *, error_threshold: int, repeat_threshold: int, burst_threshold: int, burst_window_seconds: int,
+    scoring: ScoringConfig | None = None, source_overrides: Overrides | None = None, known: DataFrame | None = None,
+) -> DataFrame:
+    """The rules over counts and moments that are there already."""
+    more = {"scoring": scoring, "overrides": source_overrides}
     parts = [
         elevated_errors(counts, error_threshold=error_threshold, **more),
         repeated_messages(counts, repeat_threshold=repeat_threshold, **more),
-        error_bursts(events, counts, burst_threshold=burst_threshold, burst_window_seconds=burst_window_seconds, **more),
+        error_bursts(moments, counts, burst_threshold=burst_threshold, burst_window_seconds=burst_window_seconds, **more),
     ]
     if known is not None:
         parts.append(novel_messages(counts, known, scoring=scoring))
