@@ -78,7 +78,7 @@ def _exact(function, column: Column, native) -> Column:
 
 
 def strip(column: Column) -> Column:
-    return F.regexp_replace(column, f"^{ASCII_SPACE}+|{ASCII_SPACE}+$", "")
+    return F.regexp_replace(column, f"^{ASCII_SPACE}+|(?<!{ASCII_SPACE}){ASCII_SPACE}+$", "")
 
 
 def stripped(column: Column) -> Column:

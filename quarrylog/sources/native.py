@@ -112,7 +112,9 @@ def json_event(raw: Column, provenance: Column) -> Column:
 
 _HEADER = r"(?s)^<([0-9]{1,3})>([0-9]{1,3}) (\S+) (\S+) (\S+) (\S+) (\S+) (.*)$"
 _NAME = r"[\x21\x23-\x3c\x3e-\x5c\x5e-\x7e]{1,32}"
-_ELEMENTS = rf'(?s)^(-|(?:\[{_NAME}(?: {_NAME}="(?:[^"\\\]]|\\["\\\]])*")*\])+)(?!\[)(?: (.*))?$'
+# possessive loops: Java's other loops over groups use the stack for each round
+_VALUE = r'[^"\\\]]*+(?:\\["\\\]][^"\\\]]*+)*+'
+_ELEMENTS = rf'(?s)^(-|(?:\[{_NAME}(?: {_NAME}="{_VALUE}")*+\])++)(?!\[)(?: (.*))?$'
 _RFC_TIME = rf"^{_DATE}T{_TIME}(?:{_OFFSET})$"
 # Longest header fields.
 _LIMITS = {"hostname": 255, "app": 48, "procid": 128, "msgid": 32}

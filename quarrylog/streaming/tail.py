@@ -128,7 +128,7 @@ class Watch:
         try:
             while not self.over_budget:
                 left = 0.1 if end is None else min(0.1, end - time.monotonic())
-                if left <= 0:
+                if left < 0.002:  # the wait is in whole milliseconds
                     query.processAllAvailable()
                     break
                 if query.awaitTermination(left):
