@@ -331,7 +331,7 @@ def parse_json(spark, sf_dir):
     return _rows(_raw(spark, sf_dir, line), "json")
 
 
-@query("parse_json_otel", f"WITH {LOG} SELECT event_id, level, message, source, (epoch_ms(ts) // 1000) * 1000000 AS micros FROM l")
+@query("parse_json_otel", f"WITH {LOG} SELECT event_id, level, message, source, (epoch_us(ts) // 1000000) * 1000000 AS micros FROM l")
 def parse_json_otel(spark, sf_dir):
     severity = F.when(F.col("kind") == "error", "17").when(F.col("kind") == "purchase", "13").otherwise("9")
     nanos = (F.unix_seconds(utc(F.col("ts")))).cast("string")
@@ -342,7 +342,7 @@ def parse_json_otel(spark, sf_dir):
     return _rows(_raw(spark, sf_dir, line), "json")
 
 
-@query("parse_json_journald", f"WITH {LOG} SELECT event_id, level, message, source, (epoch_ms(ts) // 1000) * 1000000 AS micros FROM l")
+@query("parse_json_journald", f"WITH {LOG} SELECT event_id, level, message, source, (epoch_us(ts) // 1000000) * 1000000 AS micros FROM l")
 def parse_json_journald(spark, sf_dir):
     priority = F.when(F.col("kind") == "error", "3").when(F.col("kind") == "purchase", "4").otherwise("6")
     line = _cat('{"MESSAGE":"', _message(), '","PRIORITY":"', priority, '","__REALTIME_TIMESTAMP":"', F.unix_seconds(utc(F.col("ts"))).cast("string"), '000000","_SYSTEMD_UNIT":"user-', F.col("user"), '"}')
@@ -415,7 +415,7 @@ def normalize_sources(spark, sf_dir):
     return log(spark, sf_dir).select(F.col("source").alias("given"), text.display_source(wide).alias("display"), text.rule_source(wide).alias("rule")).distinct()
 
 
-@query("normalize_messages", f"WITH {LOG} SELECT DISTINCT message AS given, message AS rule, upper(message) || ' x' AS shown FROM l")
+@query("normalize_messages", f"WITH {LOG} SELECT DISTINCT message AS given, message AS rule, upper(message || ' x') AS shown FROM l")
 def normalize_messages(spark, sf_dir):
     message = F.col("message")
     return log(spark, sf_dir).select(

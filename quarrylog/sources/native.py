@@ -1,12 +1,13 @@
-"""Line parsers as Column expressions.
+"""Line parsers as Column expressions over the columns raw and provenance.
 
-text_event and json_event cover the common shape of a line and are null for others, which go to the Python parsers; rfc5424_event
-covers every line. An event is a struct: error, message, level, timestamp, source, fields (values as JSON texts).
+with_text and with_json cover the common shape of a line and are null for others, which go to the Python parsers; with_rfc5424
+covers every line. An event is a struct: error, message, level, timestamp, source, fields (values as JSON texts). What an event's parts
+share (tokens, the parsed record) is a column of its own first, so that it is computed once a line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylog.sources import levels as L
@@ -47,31 +48,35 @@ def _event(message: Column, level: Column, timestamp: Column, source: Column, fi
 # --- text ----------------------------------------------------------------------------------------------------------------
 
 
-def text_event(raw: Column, provenance: Column) -> Column:
+def with_text(lines: DataFrame, name: str) -> DataFrame:
     """Lines of printable ASCII without quotes or backslashes, whose leading time, if any, is canonical and which have no time keys."""
-    message = F.regexp_replace(raw, r"[\r\n]+$", "")
-    tokens = F.filter(F.split(message, r"[ \t\r\n]+"), lambda t: t != "")
-    words = F.filter(F.split(F.translate(message, "[]:", "   "), r"[ \t\r\n]+"), lambda t: t != "")
-    key = lambda t: F.split(t, "=", 2)[0]
-    value = lambda t: F.regexp_replace(F.split(t, "=", 2)[1], r"^[\[\],]+|[\[\],]+$", "")
-    keyed = lambda t, keys: t.contains("=") & F.lower(key(t)).isin(*keys)
-    named = lambda t: F.coalesce(F.try_element_at(level_names(), F.upper(t)), F.when(keyed(t, L.TEXT_LEVEL_KEYS), F.try_element_at(level_names(), F.upper(value(t)))))
-    level = F.coalesce(F.get(F.filter(F.transform(words, named), lambda x: x.isNotNull()), F.lit(0)), F.lit(L.UNKNOWN))
+    plain = F.col("raw").rlike(r"^[\t\r\n\x20-\x7e]*$") & ~F.col("raw").rlike(r"""['"\\]""")
+    line = F.when(plain, F.regexp_replace("raw", r"[\r\n]+$", ""))
+    split = lambda c: F.filter(F.split(c, r"[ \t\r\n]+"), lambda t: t != "")
+    staged = lines.withColumn("_line", line).withColumns({"_tokens": split(F.col("_line")), "_words": split(F.translate("_line", "[]:", "   "))})
+    tokens, words = F.col("_tokens"), F.col("_words")
     bare = lambda t: F.regexp_replace(t, r"^[\[\]]+|[\[\]]+$", "")
-    first, second = bare(F.get(tokens, F.lit(0))), bare(F.get(tokens, F.lit(1)))
-    joined = F.concat(first, F.lit("T"), second)
+    staged = staged.withColumns({"_1": bare(F.get(tokens, F.lit(0))), "_2": bare(F.get(tokens, F.lit(1)))})
+    first, second = F.col("_1"), F.col("_2")
     two = first.rlike(f"^{_DATE}$") & second.rlike(f"^{_TIME}(?:{_OFFSET})?$")
-    one = first.rlike(_MOMENT)
-    timestamp = F.when(two, moment(joined)).when(one, moment(first))
+    staged = staged.withColumn("_time", F.when(two, F.concat(first, F.lit("T"), second)).when(first.rlike(_MOMENT), first))
+    key = lambda t: F.substring_index(t, "=", 1)
+    after = lambda t: F.substring(t, F.instr(t, "=") + 1, F.length(t))
+    value = lambda t: F.regexp_replace(after(t), r"^[\[\],]+|[\[\],]+$", "")
+    keyed = lambda t, keys: t.contains("=") & F.lower(key(t)).isin(*keys)
+    named = lambda t: F.try_element_at(level_names(), F.upper(F.when(keyed(t, L.TEXT_LEVEL_KEYS), value(t)).otherwise(t)))
+    level = F.coalesce(F.get(F.filter(F.transform(words, named), lambda x: x.isNotNull()), F.lit(0)), F.lit(L.UNKNOWN))
     sources = F.filter(F.transform(F.filter(tokens, lambda t: keyed(t, L.SOURCE_KEYS)), value), lambda v: v != "")
-    pairs = F.filter(tokens, lambda t: t.contains("=") & (key(t) != "") & ~F.lower(key(t)).isin(*L.TEXT_RESERVED_KEYS))
-    keys = F.transform(pairs, key)
-    chosen = F.filter(pairs, lambda t, k: F.array_position(keys, key(t)) == k + 1)
-    fields = F.map_from_arrays(F.transform(chosen, key), F.transform(chosen, lambda t: F.concat(F.lit('"'), F.split(t, "=", 2)[1], F.lit('"'))))
-    plain = raw.rlike(r"^[\t\r\n\x20-\x7e]*$") & ~raw.rlike(r"""['"\\]""")
-    dated = (two & moment(joined).isNotNull()) | one | F.coalesce(first.rlike(r"^[^0-9]"), F.lit(True)) | (first == "")
+    staged = staged.withColumn("_pairs", F.filter(tokens, lambda t: t.contains("=") & (key(t) != "") & ~F.lower(key(t)).isin(*L.TEXT_RESERVED_KEYS)))
+    keys = F.transform("_pairs", key)
+    chosen = F.filter("_pairs", lambda t, k: F.array_position(keys, key(t)) == k + 1)
+    fields = F.map_from_entries(F.transform(chosen, lambda t: F.struct(key(t), F.concat(F.lit('"'), after(t), F.lit('"')))))
+    known = F.col("_time").isNotNull() | F.coalesce(first.rlike(r"^[^0-9]"), F.lit(True)) | (first == "")
     timed = F.exists(tokens, lambda t: keyed(t, L.TEXT_TIME_KEYS))
-    return F.when(plain & dated & ~timed, _event(message, level, timestamp, F.coalesce(F.get(sources, F.lit(0)), provenance), fields))
+    staged = staged.withColumn("_at", moment(F.col("_time")))
+    good = F.col("_line").isNotNull() & known & ~timed & (F.col("_at").isNotNull() | ~two | two.isNull())
+    event = _event(F.col("_line"), level, F.col("_at"), F.coalesce(F.get(sources, F.lit(0)), F.col("provenance")), fields)
+    return staged.withColumn(name, F.when(good, event)).drop("_line", "_tokens", "_words", "_1", "_2", "_time", "_pairs", "_at")
 
 
 # --- JSON ----------------------------------------------------------------------------------------------------------------
@@ -79,33 +84,26 @@ def text_event(raw: Column, provenance: Column) -> Column:
 _SPECIAL = ("severityNumber", "PRIORITY", "timeUnixNano", *L.OBSERVED_KEYS, "observedTimeUnixNano", "__REALTIME_TIMESTAMP", "service.name", *L.JOURNAL_SOURCE_KEYS)
 
 
-def json_event(raw: Column, provenance: Column) -> Column:
+def with_json(lines: DataFrame, name: str) -> DataFrame:
     """Flat objects in ASCII without backslashes, with text for message, level, time and source, and plainly written numbers."""
+    raw = F.col("raw")
     flat = raw.rlike(r"^[ \t\r\n]*\{[\x20-\x7e\t&&[^{}\[\]\\]]*\}[ \t\r\n]*$")
     odd = raw.rlike(r"[0-9][eE]|[0-9]{16}|\.[0-9]*0(?![0-9])|-0(?![.0-9])")
-    record = F.try_variant_get(F.try_parse_json(F.when(flat & ~odd, raw)), "$", "map<string,variant>")
-    has = lambda k: F.map_contains_key(record, k)
-    kind = lambda k: F.schema_of_variant(record[k])
-    text = lambda k: F.try_variant_get(record[k], "$", "string")
-
-    def first(keys, otherwise: Column) -> Column:
-        out = F.when(has(keys[0]), text(keys[0]))
-        for k in keys[1:]:
-            out = out.when(has(k), text(k))
-        return out.otherwise(otherwise)
-
-    strings = F.lit(True)
-    for k in (*L.MESSAGE_KEYS, *L.LEVEL_KEYS, *L.TIME_KEYS, *L.SOURCE_KEYS):
-        strings = strings & (~has(k) | (kind(k) == "STRING"))
-    special = F.lit(False)
-    for k in _SPECIAL:
-        special = special | has(k)
-    time = first(L.TIME_KEYS, F.lit(None).cast("string"))
-    sources = F.filter(F.array(*(F.nullif(F.trim(text(k)), F.lit("")) for k in L.SOURCE_KEYS)), lambda s: s.isNotNull())
-    level = first(L.LEVEL_KEYS, F.lit(None).cast("string"))
+    staged = lines.withColumn("_record", F.try_variant_get(F.try_parse_json(F.when(flat & ~odd, raw)), "$", "map<string,variant>"))
+    record = F.col("_record")
+    # among texts, the first key present is the first that isn't null
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    value = lambda k: F.try_element_at(record, F.lit(k))
+    first = lambda keys: text(F.coalesce(*map(value, keys)))
+    staged = staged.withColumns({"_time": first(L.TIME_KEYS), "_level": first(L.LEVEL_KEYS)})
+    named = (*L.MESSAGE_KEYS, *L.LEVEL_KEYS, *L.TIME_KEYS, *L.SOURCE_KEYS)
+    other = F.exists(F.map_entries(record), lambda e: e["key"].isin(*_SPECIAL) | (e["key"].isin(*named) & (F.schema_of_variant(e["value"]) != "STRING")))
+    level = F.when(F.col("_level").isNull(), L.UNKNOWN).otherwise(_level(F.trim("_level")))
+    source = F.coalesce(*(F.nullif(F.trim(text(value(k))), F.lit("")) for k in L.SOURCE_KEYS), F.col("provenance"))
     fields = F.transform_values(F.map_filter(record, lambda k, _: ~k.isin(*L.RESERVED_KEYS)), lambda _, v: F.to_json(v))
-    event = _event(first(L.MESSAGE_KEYS, F.lit("")), F.when(level.isNull(), L.UNKNOWN).otherwise(_level(F.trim(level))), moment(time), F.coalesce(F.get(sources, F.lit(0)), provenance), fields)
-    return F.when(record.isNotNull() & strings & ~special & (time.isNull() | time.rlike(_MOMENT)) & ~F.coalesce(level.contains("\t"), F.lit(False)), event)
+    good = record.isNotNull() & ~other & (F.col("_time").isNull() | F.col("_time").rlike(_MOMENT)) & ~F.coalesce(F.col("_level").contains("\t"), F.lit(False))
+    event = _event(F.coalesce(first(L.MESSAGE_KEYS), F.lit("")), level, moment(F.col("_time")), source, fields)
+    return staged.withColumn(name, F.when(good, event)).drop("_record", "_time", "_level")
 
 
 # --- RFC 5424 --------------------------------------------------------------------------------------------------------------
@@ -120,28 +118,28 @@ _RFC_TIME = rf"^{_DATE}T{_TIME}(?:{_OFFSET})$"
 _LIMITS = {"hostname": 255, "app": 48, "procid": 128, "msgid": 32}
 
 
-def rfc5424_event(raw: Column, provenance: Column) -> Column:
-    line = F.regexp_replace(raw, r"[\r\n]+$", "")
-    part = lambda k: F.regexp_extract(line, _HEADER, k)
-    pri, version, time, body = part(1).try_cast("int"), part(2), part(3), part(8)
-    header = dict(zip(("hostname", "app", "procid", "msgid"), map(part, range(4, 8)), strict=True))
-    data, message = F.regexp_extract(body, _ELEMENTS, 1), F.regexp_extract(body, _ELEMENTS, 2)
-    timestamp = F.when(time.rlike(_RFC_TIME), moment(time))
-    bad = F.lit(None).cast("string")
+def with_rfc5424(lines: DataFrame, name: str) -> DataFrame:
+    staged = lines.withColumn("_line", F.regexp_replace("raw", r"[\r\n]+$", ""))
+    # past the header's pattern, single spaces part its fields
+    staged = staged.withColumn("_parts", F.when(F.col("_line").rlike(_HEADER), F.split("_line", " ", 7)))
+    part = lambda k: F.get("_parts", F.lit(k))
+    staged = staged.withColumns({"_pri": F.regexp_extract(part(0), "[0-9]+", 0).try_cast("int"), "_version": F.substring_index(part(0), ">", -1), "_data": F.regexp_extract(part(6), _ELEMENTS, 1)})
+    pri, version, time, data = F.col("_pri"), F.col("_version"), part(1), F.col("_data")
+    header = dict(zip(_LIMITS, map(part, range(2, 6)), strict=True))
+    staged = staged.withColumns({"_at": F.when(time.rlike(_RFC_TIME), moment(time)), "_rest": F.substring(part(6), F.length(data) + 2, F.length(part(6)))})
     checks = [
-        (~line.rlike(_HEADER), "invalid syslog header"),
+        (F.col("_parts").isNull(), "invalid syslog header"),
         (pri > 191, "PRI must be between 0 and 191"),
         (~version.rlike("^[1-9][0-9]{0,2}$"), "VERSION must be 1-999 without leading zeros"),
-        ((time != "-") & timestamp.isNull(), "invalid timestamp"),
+        ((time != "-") & F.col("_at").isNull(), "invalid timestamp"),
         *(((c != "-") & (F.length(c) > _LIMITS[n]), f"{n.upper()} exceeds maximum length") for n, c in header.items()),
         *(((c != "-") & ~c.rlike(r"^[\x21-\x7e]*$"), f"{n.upper()} must contain printable ASCII only") for n, c in header.items()),
-        (~body.rlike(_ELEMENTS), "invalid structured data, or no space between it and the message"),
+        (data == "", "invalid structured data, or no space between it and the message"),
     ]
-    for test, text in reversed(checks):
-        bad = F.when(test, text).otherwise(bad)
-    bom = message.startswith("\ufeff")
-    quoted = lambda c: F.to_json(F.array(c))
-    encode = lambda c: F.substring(quoted(c), F.lit(2), F.length(quoted(c)) - 2)
+    bad = F.coalesce(*(F.when(test, text) for test, text in checks))
+    rest = F.col("_rest")
+    bom = rest.startswith("\ufeff")
+    encode = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
     severity, facility = (pri % 8).cast("int"), F.floor(pri / 8).cast("int")
     entries = [
         ("syslog_facility", facility.cast("string"), None),
@@ -156,7 +154,9 @@ def rfc5424_event(raw: Column, provenance: Column) -> Column:
         *((f"syslog_{n}", encode(c), c != "-") for n, c in header.items()),
     ]
     kept = F.filter(F.array(*(F.when(F.lit(True) if on is None else on, F.struct(F.lit(n).alias("key"), v.alias("value"))) for n, v, on in entries)), lambda e: e.isNotNull())
-    source = F.coalesce(F.nullif(header["app"], F.lit("-")), F.nullif(header["hostname"], F.lit("-")), provenance)
+    source = F.coalesce(F.nullif(header["app"], F.lit("-")), F.nullif(header["hostname"], F.lit("-")), F.col("provenance"))
     level = F.get(F.array(*map(F.lit, L.PRIORITY_LEVELS)), severity)
-    event = _event(F.when(bom, F.substring(message, 2, 1 << 30)).otherwise(message), level, timestamp, source, F.map_from_entries(kept))
-    return F.when(bad.isNull(), event).otherwise(_event(*(F.lit(None) for _ in range(5)), error=bad))
+    event = _event(F.when(bom, F.substring(rest, 2, 1 << 30)).otherwise(rest), level, F.col("_at"), source, F.map_from_entries(kept))
+    staged = staged.withColumn("_bad", bad)
+    failed = _event(*(F.lit(None) for _ in range(5)), error=F.col("_bad"))
+    return staged.withColumn(name, F.when(F.col("_bad").isNull(), event).otherwise(failed)).drop("_line", "_parts", "_pri", "_version", "_data", "_at", "_rest", "_bad")

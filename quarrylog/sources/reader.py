@@ -90,19 +90,25 @@ def parse_lines(lines: DataFrame, format: str = "auto") -> DataFrame:
     raw, provenance = F.col("raw"), F.col("provenance")
     lines = lines.where(~raw.rlike(_BLANK))
     if format == "rfc5424":
-        parsed = lines.withColumn("_e", native.rfc5424_event(raw, provenance))
+        parsed = native.with_rfc5424(lines, "_e")
     else:
-        as_json, as_text = native.json_event(raw, provenance), native.text_event(raw, provenance)
-        # in `auto`, a line that begins with a brace is text only if it isn't JSON, which Python decides
-        brace = raw.rlike(f"^[{_SPACE}]*\\{{")
-        fast = {"json": as_json, "text": as_text, "auto": F.when(brace, as_json).otherwise(as_text)}[format]
-        parsed = lines.withColumn("_f", fast)
+        if format == "json":
+            parsed = native.with_json(lines, "_f")
+        elif format == "text":
+            parsed = native.with_text(lines, "_f")
+        else:
+            # a line that begins with a brace is text only if it isn't JSON, which Python decides
+            brace = raw.rlike(f"^[{_SPACE}]*\\{{")
+            parsed = native.with_text(native.with_json(lines, "_j"), "_t").withColumn("_f", F.when(brace, F.col("_j")).otherwise(F.col("_t")))
         parsed = parsed.withColumn("_p", _python(format)(F.when(F.col("_f").isNull(), raw), provenance))
         slow = F.struct(F.col("_p.error").alias("error"), F.col("_p.message").alias("message"), F.col("_p.level").alias("level"), F.timestamp_micros("_p.micros").alias("timestamp"), F.col("_p.source").alias("source"), F.col("_p.fields").alias("fields"))
         parsed = parsed.withColumn("_e", F.coalesce("_f", slow))
+    # a filter on a parsed column would be pushed below the parser, and repeat it there; it stops at a value that isn't deterministic
+    parsed = parsed.withColumn("_row", F.monotonically_increasing_id())
+    error = F.when(F.col("_row") >= 0, F.col("_e.error"))
     kept = [c for c in lines.columns if c not in ("message", "level", "timestamp", "source", "fields", "parse_error")]
     return parsed.select(
-        *kept, F.col("_e.error").alias("parse_error"), F.col("_e.message").alias("message"), F.col("_e.level").alias("level"),
+        *kept, error.alias("parse_error"), F.col("_e.message").alias("message"), F.col("_e.level").alias("level"),
         F.col("_e.timestamp").alias("timestamp"), event_source(F.col("_e.source")).alias("source"), F.col("_e.fields").alias("fields"),
     )
 
