@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to Python. Long texts make batches by rows alone too large for a worker.
 BATCH_BYTES = 8 << 20
@@ -53,6 +54,12 @@ def partitions(df: DataFrame, per: int = 8 << 20, least: int = 16) -> int:
     return max(least, default, min(200_000, plan_bytes(df) // per + 1))
 
 
+def carried(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs as one column `_all` beside those asked for, so that no name of docs clashes with an operator's own."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    return docs.select(F.struct(*quoted).alias("_all"), *columns)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

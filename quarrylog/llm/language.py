@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylog.llm.common import session, texts
+from quarrylog.llm.common import carried, session, texts
 
 DIMS = 4096
 CLUSTERS = 3
@@ -160,8 +160,8 @@ def identify(docs: DataFrame, model: Centroids | None = None, folds: int = FOLDS
 
 def accepted(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """docs without the rows that are rejected."""
-    rows = predicted(docs, train(docs, folds=folds), docs.columns)
-    return rows.where(~F.col("_rejected")).select(*docs.columns)
+    rows = predicted(carried(docs, "text"), train(docs, folds=folds), ["_all"])
+    return rows.where(~F.col("_rejected")).select("_all.*")
 
 
 def op3_language(spark, sf_dir: str) -> DataFrame:

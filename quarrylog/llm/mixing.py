@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylog.llm.common import session, written
+from quarrylog.llm.common import carried, session, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
@@ -63,18 +63,19 @@ def draw(seed: int) -> F.Column:
 def repetitions(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes the document)."""
     session(docs)
-    sized = sizes(docs.drop(*ADDED))
+    sized = sizes(carried(docs, "doc_id", "text", "source"))
     rates = written(targets(sized.select("source", "size"), weights, share, cap), "mix-rates").withColumnRenamed("source", "_source")
-    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("_source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(draw(seed) < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("copies", copies.cast("long"))
+    own = [F.col("_all").getField(c).alias(c) for c in docs.columns if c not in ADDED]
+    return joined.select(*own, "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: docs' columns, a row for each copy taken."""
-    taken = repetitions(docs, **options).where(F.col("copies") > 0)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = repetitions(carried(docs, "doc_id", "text", "source"), **options).where(F.col("copies") > 0)
+    return taken.select("_all", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_all.*")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

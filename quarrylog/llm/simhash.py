@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylog.llm.common import partitions, session, texts, written
+from quarrylog.llm.common import carried, partitions, session, texts, written
 from quarrylog.llm.components import components
 
 RADIUS = 4
@@ -284,14 +284,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id; among repeated rows of that id, any one."""
-    prints = written(fingerprints(docs, keep=docs.columns, shingle=shingle, seed=seed), "prints-kept")
+    rows = carried(docs, "doc_id", "text")
+    prints = written(fingerprints(rows, keep=["_all", "doc_id"], shingle=shingle, seed=seed), "prints-kept")
     found = classes(prints.select("doc_id", "_fp"), radius)
     kept = prints.join(found, "_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    again = kept.groupBy("_root").agg(F.count("*").alias("n")).where("n > 1").select("_root")
-    again = written(again, "repeated-ids")
-    alone = kept.join(again, "_root", "left_anti").select(*docs.columns)
-    one = kept.join(again, "_root", "left_semi").dropDuplicates(["_root"]).select(*docs.columns)
-    return alone.unionByName(one)
+    again = written(kept.groupBy("_root").agg(F.count("*").alias("n")).where("n > 1").select("_root"), "repeated-ids")
+    alone = kept.join(again, "_root", "left_anti").select("_all")
+    one = kept.join(again, "_root", "left_semi").dropDuplicates(["_root"]).select("_all")
+    return alone.union(one).select("_all.*")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
