@@ -104,7 +104,7 @@ def split(text: str, special: re.Pattern | None = None) -> list[str]:
 def _zstd() -> tuple:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=6)
 
 
 def _packed(codes: np.ndarray) -> bytes:
@@ -135,12 +135,13 @@ class _Block:
     def row(self, block: int, buckets: int) -> dict[str, list]:
         words = [w.encode("utf-8", "replace") for w in self.word]
         bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
-        order = np.argsort(bucket, kind="stable")
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)  # sorted lists compress better
+        order = order[np.argsort(bucket[order], kind="stable")]
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
         codes = np.concatenate(self.codes) if self.codes else np.empty(0, np.int64)
         found, first = np.unique(bucket[order], return_index=True)
-        lists = [{"bucket": int(b), "words": _zstd()[0].compress(END.join(words[k] for k in some))} for b, some in zip(found, np.split(order, first[1:]), strict=True)] if len(words) else []
+        lists = [{"bucket": int(b), "words": _zstd()[2].compress(END.join(words[k] for k in some))} for b, some in zip(found, np.split(order, first[1:]), strict=True)] if len(words) else []
         return {"block": [block], "doc_ids": [self.doc_ids], "n_words": [self.n_words], "codes": [_packed(place[codes] if len(codes) else codes)], "lists": [lists]}
 
 
