@@ -168,7 +168,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     tiles = written(tiles.select("tile", F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data")), "tiles")
     asked = tiles.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n - 1)).cast("long")))).where(F.lit(n > 0))
     work = max(16, min(20_000, n * tiles.count()))
-    pairs = asked.repartition(work, "shard", "tile").join(shards, "shard")
+    # no broadcast: the planner knows the tiles' size only before they are repeated for each shard
+    pairs = asked.repartition(work, "shard").hint("merge").join(shards.repartition(work, "shard"), "shard")
     lists = pairs.mapInArrow(_search(k), _LISTS + ", part long")
     left = n
     while True:
