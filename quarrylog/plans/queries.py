@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarrylog.functions import text
 from quarrylog.functions.scoring import ScoringConfig, SourceThresholds
 from quarrylog.operators import coverage, filters, novelty, rules, summary, windows
-from quarrylog.sources.reader import events_of, parse_lines
+from quarrylog.sources.reader import events_of, parse_lines, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -303,7 +303,7 @@ def _iso(ts: Column) -> Column:
 
 def _raw(spark, sf_dir, line) -> DataFrame:
     """Rendered lines; line makes one from the columns id, kind, k, user, ts."""
-    e = table(spark, sf_dir, "events").select(
+    e = spread(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").alias("k"), F.col("user_id").cast("string").alias("user"), F.col("ts")
     )
     return e.select(F.col("id").alias("event_id"), F.lit("events.log").alias("provenance"), line.alias("raw"))

@@ -15,7 +15,7 @@ from quarrylog.sources import levels as L
 EVENT = "struct<error: string, message: string, level: string, timestamp: timestamp, source: string, fields: map<string, string>>"
 _DATE, _TIME = r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?"
 _OFFSET = r"Z|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9]"
-_MOMENT = f"^(?!0000)({_DATE})[T ]({_TIME})({_OFFSET})?$"
+_MOMENT = f"^(?!0000){_DATE}[T ]{_TIME}(?:{_OFFSET})?$"
 
 
 def _names(pairs: dict[str, str]) -> Column:
@@ -32,12 +32,15 @@ def _level(name: Column) -> Column:
 
 
 def moment(text: Column) -> Column:
-    """The timestamp of a canonical ISO text (UTC where it has no offset), else null. Offsets beyond what a cast takes are subtracted by hand."""
-    part = lambda k: F.regexp_extract(text, _MOMENT, k)
-    local = F.concat(part(1), F.lit("T"), part(2), F.lit("Z")).try_cast("timestamp")
-    sign = F.when(F.substring(part(3), 1, 1) == "-", -1).otherwise(1)
-    minutes = F.coalesce(F.substring(part(3), 2, 2).try_cast("int") * 60 + F.substring(part(3), 5, 2).try_cast("int"), F.lit(0))
-    return F.when(text.rlike(_MOMENT), F.timestamp_micros(F.unix_micros(local) - sign * minutes.cast("long") * 60_000_000))
+    """The timestamp of a canonical ISO text (UTC where it has no offset), else null."""
+    zoned = text.endswith("Z") | F.substring(text, -6, 1).isin("+", "-")
+    plain = F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp")
+    # a cast takes offsets up to 18 hours; larger ones are subtracted by hand
+    body, offset = F.substring(text, F.lit(1), F.length(text) - 6), F.substring(text, -6, 6)
+    minutes = (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 5, 2).try_cast("int")).cast("long")
+    shift = F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1) * minutes * 60_000_000
+    far = F.timestamp_micros(F.unix_micros(F.concat(body, F.lit("Z")).try_cast("timestamp")) - shift)
+    return F.when(text.rlike(_MOMENT), F.when(text.rlike("[+-](?:1[89]|2[0-3]):[0-9]{2}$"), far).otherwise(plain))
 
 
 def _event(message: Column, level: Column, timestamp: Column, source: Column, fields: Column, error: Column | None = None) -> Column:

@@ -7,7 +7,6 @@ scan serves both parsers: a line that the JVM expressions cover reaches the Pyth
 from __future__ import annotations
 
 import sys
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from quarrylog.functions.text import arrow, event_source
 from quarrylog.sources import native
 from quarrylog.sources.exact import PARSERS
+from quarrylog.sources.storage import shared_folder
 
 FORMATS = ("auto", "json", "text", "rfc5424")
 #: What str.strip() takes for blank.
@@ -32,9 +32,7 @@ def check_format(format: str) -> None:
 def read_lines(spark: SparkSession, path: str | list[str], provenance: str | None = None) -> DataFrame:
     """Lines of text files; `.gz` in any case is decompressed, '-' is standard input. Bytes that aren't UTF-8 become U+FFFD."""
     if path == "-":
-        with tempfile.NamedTemporaryFile("w", suffix=".log", delete=False, encoding="utf-8") as spool:
-            spool.writelines(sys.stdin)
-        path, provenance = spool.name, provenance or "<stdin>"
+        path, provenance = _spooled(spark), provenance or "<stdin>"
     name = path if isinstance(path, str) else ""
     if name.lower().endswith(".gz") and not name.endswith(".gz"):
         lines = _odd_gzip(spark, name)
@@ -47,6 +45,18 @@ def read_lines(spark: SparkSession, path: str | list[str], provenance: str | Non
     )
 
 
+def _spooled(spark: SparkSession) -> str:
+    """Standard input as a file that the executors see."""
+    import pyarrow.fs
+
+    fs, folder = pyarrow.fs.FileSystem.from_uri(shared_folder(spark, "stdin"))
+    fs.create_dir(folder, recursive=True)
+    with fs.open_output_stream(f"{folder}/stdin.log") as spool:
+        for line in sys.stdin:
+            spool.write(line.encode("utf-8", "replace"))
+    return ("file://" if fs.type_name == "local" else "") + f"{folder}/stdin.log"
+
+
 def _odd_gzip(spark: SparkSession, path: str) -> DataFrame:
     """A gzip file whose suffix isn't in lower case, which the text reader takes for plain text. A gzip file has one reader in any case."""
     import gzip
@@ -84,6 +94,12 @@ def _python(format: str):
     return run
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where their files can't be split into enough parts, as gzip files and small ones can't."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def parse_lines(lines: DataFrame, format: str = "auto") -> DataFrame:
     """lines (provenance, raw, ...) without blank ones, with parse_error, message, level, timestamp, source, fields."""
     check_format(format)
@@ -115,7 +131,7 @@ def parse_lines(lines: DataFrame, format: str = "auto") -> DataFrame:
 
 def read_logs(spark: SparkSession, path: str | list[str], format: str = "auto", provenance: str | None = None) -> DataFrame:
     """Parsed rows of log files, failed lines among them (parse_error set)."""
-    return parse_lines(read_lines(spark, path, provenance), format)
+    return parse_lines(spread(read_lines(spark, path, provenance)), format)
 
 
 def events_of(parsed: DataFrame) -> DataFrame:
