@@ -34,7 +34,7 @@ K = 16
 TABLES = 8
 BLOCK = 512
 MEMBERS = 128
-TILE = 1024
+TILE = 256
 AUDIT = 1024
 RECALL = 0.98
 ROUNDS = 10
