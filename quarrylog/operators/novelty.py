@@ -84,9 +84,13 @@ class KnownCorpus:
         return spark.createDataFrame([(*k, *v) for k, v in self.entries.items()], SCHEMA)
 
     def learn(self, events: DataFrame, *, observed_at: datetime | None = None) -> int:
-        """Adds the events' messages; gives the number of new keys. The merge is a join on the cluster."""
+        """Adds the events' messages; gives the number of new keys."""
+        return self.learn_counts(message_counts(events), observed_at=observed_at)
+
+    def learn_counts(self, counts: DataFrame, *, observed_at: datetime | None = None) -> int:
+        """learn for a table of message_counts. The merge is a join on the cluster."""
         before = len(self)
-        merged = merge(self.table(events.sparkSession), message_counts(events), observed_at=observed_at)
+        merged = merge(self.table(counts.sparkSession), counts, observed_at=observed_at)
         self.entries = KnownCorpus.of(merged.select("source", "level", "message", "count", "first_seen")).entries
         return len(self) - before
 

@@ -57,13 +57,15 @@ class Analysis:
         self.events = filters.filter_events(events, levels=config.levels, contains=config.contains, sources=config.sources).persist(StorageLevel.MEMORY_AND_DISK)
         self.matched_events = self.events.count()
         self.input_events, self.parse_errors = int(seen.get["input"]), int(seen.get["errors"])
-        self.counts = rules.message_counts(self.events)
+        self.counts = rules.message_counts(self.events).persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
+        self.counts.unpersist()
         self.events.unpersist()
 
     def findings(self) -> list[dict]:
-        return rows_of(rules.detect_anomalies(self.events, **self.config.thresholds(), scoring=self.config.scoring, source_overrides=self.config.source_overrides, known=self.known))
+        found = rules.findings_of(self.counts, rules.error_moments(self.events), **self.config.thresholds(), scoring=self.config.scoring, source_overrides=self.config.source_overrides, known=self.known)
+        return rows_of(rules.ordered(found))
 
     def windows(self) -> DataFrame:
         return windows.build_time_windows(self.events, window_minutes=self.config.window_minutes)
