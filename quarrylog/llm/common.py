@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to Python. Long texts make batches by rows alone too large for a worker.
 BATCH_BYTES = 8 << 20
@@ -57,10 +56,18 @@ def partitions(df: DataFrame, per: int = 8 << 20, least: int = 16) -> int:
     return max(least, default, min(200_000, plan_bytes(df) // per + 1))
 
 
-def carried(docs: DataFrame, *columns: str) -> DataFrame:
-    """docs as one column `_all` beside those asked for, so that no name of docs clashes with an operator's own."""
-    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
-    return docs.select(F.struct(*quoted).alias("_all"), *columns)
+class Carried:
+    """docs under names of our own (`_0`, `_1`, ...), so that no column of docs clashes with an operator's; back() restores the names."""
+
+    def __init__(self, docs: DataFrame):
+        self.names, self.own = docs.columns, [f"_{k}" for k in range(len(docs.columns))]
+        self.rows = docs.toDF(*self.own)
+
+    def __getitem__(self, name: str) -> str:
+        return self.own[self.names.index(name)]
+
+    def back(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*self.own).toDF(*self.names)
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:

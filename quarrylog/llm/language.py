@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylog.llm.common import carried, session, texts
+from quarrylog.llm.common import Carried, session, texts
 
 DIMS = 4096
 CLUSTERS = 3
@@ -134,21 +134,21 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = FOLDS)
     return Centroids([r["lang"] for r in rows], np.array([np.frombuffer(r["found"], "<u2") for r in rows], float).reshape(-1, DIMS))
 
 
-def predicted(docs: DataFrame, model: Centroids, keep: list[str]) -> DataFrame:
-    """The columns `keep` with lang_pred, score and rejected; the text alone decides."""
+def predicted(docs: DataFrame, model: Centroids, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns `keep` with _lang, _score and _rejected; the text alone decides."""
     from pyspark.sql import types as T
 
     shared = session(docs).sparkContext.broadcast(model)  # bounded: CLUSTERS x languages x DIMS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.predict(t) for t in texts(b, "_text")]
+            found = [shared.value.predict(t) for t in texts(b, text)]
             more = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns - 1)), *more], [*keep, "_lang", "_score", "_rejected"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *more], [*keep, "_lang", "_score", "_rejected"])
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    rows = docs.select(*dict.fromkeys([*keep, text]))
     more = [T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_rejected", T.BooleanType())]
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *more]))
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in keep), *more]))
 
 
 def identify(docs: DataFrame, model: Centroids | None = None, folds: int = FOLDS) -> DataFrame:
@@ -160,8 +160,8 @@ def identify(docs: DataFrame, model: Centroids | None = None, folds: int = FOLDS
 
 def accepted(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """docs without the rows that are rejected."""
-    rows = predicted(carried(docs, "text"), train(docs, folds=folds), ["_all"])
-    return rows.where(~F.col("_rejected")).select("_all.*")
+    c = Carried(docs)
+    return c.back(predicted(c.rows, train(docs, folds=folds), c.own, c["text"]).where(~F.col("_rejected")))
 
 
 def op3_language(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylog.llm.common import carried, session, written
+from quarrylog.llm.common import Carried, session, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
@@ -28,8 +28,8 @@ DIGITS = 13
 ADDED = ("size", "source_size", "target", "copies")
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
+    return docs.withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -54,28 +54,33 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("source", "source_size", F.when(F.col("_capped"), F.lit(cap) * F.col("source_size")).otherwise(F.col("w") * level_free["_level"]).cast("double").alias("target"))
 
 
-def draw(seed: int) -> F.Column:
+def draw(seed: int, doc_id: str = "doc_id") -> F.Column:
     """A number in [0, 1) from seed and doc_id."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(key), 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
-def repetitions(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """docs with size, source_size, target and copies (how often the mix takes the document)."""
-    session(docs)
-    sized = sizes(carried(docs, "doc_id", "text", "source"))
-    rates = written(targets(sized.select("source", "size"), weights, share, cap), "mix-rates").withColumnRenamed("source", "_source")
-    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("_source")))
+def _repeated(c: Carried, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
+    session(c.rows)
+    sized = sizes(c.rows, c["text"])
+    rates = written(targets(sized.select(F.col(c["source"]).alias("source"), "size"), weights, share, cap), "mix-rates")
+    joined = sized.join(rates, F.col(c["source"]).eqNullSafe(F.col("source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw(seed) < rate - F.floor(rate), 1).otherwise(0)
-    own = [F.col("_all").getField(c).alias(c) for c in docs.columns if c not in ADDED]
-    return joined.select(*own, "size", "source_size", "target", copies.cast("long").alias("copies"))
+    copies = F.floor(rate) + F.when(draw(seed, c["doc_id"]) < rate - F.floor(rate), 1).otherwise(0)
+    return joined.select(*c.own, "size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def repetitions(docs: DataFrame, **options) -> DataFrame:
+    """docs with size, source_size, target and copies (how often the mix takes the document)."""
+    c = Carried(docs.drop(*ADDED))
+    return _repeated(c, **options).toDF(*c.names, *ADDED)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: docs' columns, a row for each copy taken."""
-    taken = repetitions(carried(docs, "doc_id", "text", "source"), **options).where(F.col("copies") > 0)
-    return taken.select("_all", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_all.*")
+    c = Carried(docs)
+    taken = _repeated(c, **options).where(F.col("copies") > 0)
+    return c.back(taken.select(*c.own, F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylog.llm.common import carried, partitions, session, texts, written
+from quarrylog.llm.common import Carried, partitions, session, texts, written
 from quarrylog.llm.components import components
 
 RADIUS = 4
@@ -80,19 +80,18 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprints(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED, text: str = "text") -> DataFrame:
     """The columns `keep` (doc_id alone, unless given) and _fp, the fingerprint as a signed long."""
     session(docs)
     keep = keep or ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in texts(b, "_text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns - 1)), pa.array(fp)], [*keep, "_fp"])
+            fp = np.array([fingerprint(t, shingle, seed) for t in texts(b, text)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp)], [*keep, "_fp"])
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    fields = [*(f for f in rows.schema.fields if f.name != "_text")]
-    return rows.mapInArrow(run, _with(fields, "_fp"))
+    rows = docs.select(*dict.fromkeys([*keep, text]))
+    return rows.mapInArrow(run, _with([rows.schema[c] for c in keep], "_fp"))
 
 
 def _with(fields, name):
@@ -284,14 +283,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id; among repeated rows of that id, any one."""
-    rows = carried(docs, "doc_id", "text")
-    prints = written(fingerprints(rows, keep=["_all", "doc_id"], shingle=shingle, seed=seed), "prints-kept")
-    found = classes(prints.select("doc_id", "_fp"), radius)
-    kept = prints.join(found, "_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    c = Carried(docs)
+    prints = written(fingerprints(c.rows, c.own, shingle, seed, c["text"]), "prints-kept")
+    found = classes(prints.select(F.col(c["doc_id"]).alias("doc_id"), "_fp"), radius)
+    kept = prints.join(found, "_fp").where(F.col(c["doc_id"]).eqNullSafe(F.col("component_id")))
     again = written(kept.groupBy("_root").agg(F.count("*").alias("n")).where("n > 1").select("_root"), "repeated-ids")
-    alone = kept.join(again, "_root", "left_anti").select("_all")
-    one = kept.join(again, "_root", "left_semi").dropDuplicates(["_root"]).select("_all")
-    return alone.union(one).select("_all.*")
+    alone = kept.join(again, "_root", "left_anti").select(*c.own)
+    one = kept.join(again, "_root", "left_semi").dropDuplicates(["_root"]).select(*c.own)
+    return c.back(alone.union(one))
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
