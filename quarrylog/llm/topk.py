@@ -3,7 +3,7 @@
 Rows are packed into shards of SHARD vectors, queries into tiles of TILE; each tile meets each shard in one matrix product, whose
 scores are cut to the k best of each query at once. The tiles' lists are merged as a tree, FAN at a time. A tile pair is a
 row of its own, so that work spreads over any number of tasks, and no task holds more than two tiles and their
-scores. Queries aren't broadcast: their tiles travel to the shards by an equi-join on the shard's number.
+scores. Queries aren't broadcast: shards are dealt to as many slots as there are shards, and the tiles travel to each slot by an equi-join.
 
 Components become floor(256 * x). Products of whole numbers are exact in double precision while sums stay below 2**53;
 rows that could go beyond are scored with Python's integers, and a score beyond a long is held at its end.
@@ -15,11 +15,12 @@ repeated rows never find each other; each repeated query row gets its own list.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylog.llm.common import session, written
@@ -33,7 +34,7 @@ FAN = 32
 SCALE = 256.0
 _NO_ID = np.iinfo(np.int64).max
 _EXACT = float(1 << 53)
-_PACK = "ids binary, has_id binary, dims int, data binary"
+_PACK = "pack long, ids binary, has_id binary, dims int, data binary"
 _LISTS = "tile long, queries binary, ids binary, has_id binary, scores binary, counts binary"
 
 
@@ -42,15 +43,18 @@ def scaled(m: np.ndarray) -> np.ndarray:
 
 
 def _packs(rows: DataFrame, size: int) -> DataFrame:
-    """rows (vec_id, embedding) packed, `size` to a row."""
+    """rows (vec_id, embedding) packed, `size` to a row, which has a number of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = itertools.count(TaskContext.get().partitionId() << 32)
         have: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def out(parts) -> pa.RecordBatch:
             dims = max(p[2].shape[1] for p in parts)
             data = np.concatenate([np.pad(p[2], ((0, 0), (0, dims - p[2].shape[1]))) for p in parts])
-            return pa.RecordBatch.from_arrays([pa.array([np.concatenate([p[0] for p in parts]).tobytes()]), pa.array([np.concatenate([p[1] for p in parts]).tobytes()]), pa.array([dims], pa.int32()), pa.array([data.tobytes()])], ["ids", "has_id", "dims", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([next(number)], pa.int64()), pa.array([np.concatenate([p[0] for p in parts]).tobytes()]), pa.array([np.concatenate([p[1] for p in parts]).tobytes()]), pa.array([dims], pa.int32()), pa.array([data.tobytes()])], ["pack", "ids", "has_id", "dims", "data"])
 
         n = 0
         for b in batches:
@@ -72,11 +76,6 @@ def _packs(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, _PACK)
 
 
-def _numbered(packs: DataFrame, name: str) -> DataFrame:
-    # one row a pack: some thousands of vectors each
-    return packs.withColumn(name, F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long") - 1)
-
-
 def _inner(q: np.ndarray, s: np.ndarray) -> np.ndarray:
     """Inner products of whole numbers as doubles, exact; beyond 2**53 as Python integers, held within a long."""
     top = np.abs(q).max(initial=0.0) * np.abs(s).max(initial=0.0) * max(1, q.shape[1])
@@ -125,7 +124,7 @@ def _search(k: int):
                 own = (q_ids[:, None] == ids[None, :]) & (known == 1)[None, :]
                 scores[own] = None if scores.dtype == object else -np.inf
                 found = [(ids[c], known[c], scores[n, c]) for n, c in enumerate(_best(scores, ids, k))]
-                yield _arrow([_list_row(r["tile"], q_ids, found) | {"part": r["shard"] // FAN}])
+                yield _arrow([_list_row(r["tile"], q_ids, found) | {"part": r["slot"] // FAN}])
 
     return run
 
@@ -162,16 +161,18 @@ def _merged(x, y, k: int):
 def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """rows, queries: vec_id, embedding. Gives query_id, rank (from 1), vec_id, score."""
     session(rows)
-    shards = written(_numbered(_packs(rows.where(finite()).select("vec_id", "embedding"), SHARD), "shard"), "shards")
+    shards = written(_packs(rows.where(finite()).select("vec_id", "embedding"), SHARD), "shards")
     n = shards.count()
-    tiles = _numbered(_packs(queries.where(finite()).select("vec_id", "embedding"), TILE), "tile")
-    tiles = written(tiles.select("tile", F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data")), "tiles")
-    asked = tiles.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n - 1)).cast("long")))).where(F.lit(n > 0))
+    tiles = written(_packs(queries.where(finite()).select("vec_id", "embedding"), TILE), "tiles")
+    tiles = tiles.select(F.col("pack").alias("tile"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data"))
+    slots = max(1, n)
+    asked = tiles.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    dealt = shards.withColumn("slot", F.pmod(F.xxhash64("pack"), F.lit(slots)))
     work = max(16, min(20_000, n * tiles.count()))
-    # no broadcast: the planner knows the tiles' size only before they are repeated for each shard
-    pairs = asked.repartition(work, "shard").hint("merge").join(shards.repartition(work, "shard"), "shard")
+    # no broadcast: the planner knows the tiles' size only before they are repeated for each slot
+    pairs = asked.repartition(work, "slot").hint("merge").join(dealt.repartition(work, "slot"), "slot")
     lists = pairs.mapInArrow(_search(k), _LISTS + ", part long")
-    left = n
+    left = slots
     while True:
         dealt = written(lists, "top-lists").repartition(work, "tile", "part").sortWithinPartitions("tile", "part")
         lists = dealt.mapInArrow(_merge(k), _LISTS + ", part long")
