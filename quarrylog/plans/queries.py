@@ -47,7 +47,7 @@ def utc(ts: Column) -> Column:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     k = F.get_json_object("props", "$.k")
     return e.select(
         F.concat(F.col("event_type"), F.lit(" k="), k).alias("message"), level_of(F.col("event_type")).alias("level"), utc(F.col("ts")).alias("timestamp"),
