@@ -36,6 +36,24 @@ def test_near_duplicates(spark):
     assert all(r["kept"] == (k == r["component_id"]) for k, r in found.items())
 
 
+def test_near_duplicates_across_tight_groups(spark):
+    """Groups tighter than any list is long, with links between them that no list can hold; the last one is far off."""
+    rng = np.random.default_rng(5)
+    at = np.eye(32)[:5]
+    turned = [at[0], 0.95 * at[0] + np.sqrt(1 - 0.95**2) * at[1], 0.95 * at[0] - np.sqrt(1 - 0.95**2) * at[1], at[3]]
+    m = np.concatenate([c + 0.01 * rng.standard_normal((170, 32)) for c in turned] + [rng.standard_normal((300, 32))])
+    m = m[rng.permutation(len(m))]
+    found = {r["vec_id"]: r for r in neighbours.near_duplicates(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "vec_id long, embedding array<double>")).collect()}
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert sorted(set(near.sum(1)))[-2:] == [339, 509]
+    least = np.arange(len(m))
+    while (now := np.minimum(least, np.where(near, least[None, :], len(m)).min(1))).tolist() != least.tolist():
+        least = now
+    assert [(found[k]["n_links"], found[k]["component_id"]) for k in range(len(m))] == list(zip(near.sum(1).tolist(), least.tolist(), strict=True))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     rows = {r["vec_id"]: tuple(r)[1:] for r in neighbours.near_duplicates(df).collect()}
