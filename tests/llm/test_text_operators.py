@@ -315,3 +315,17 @@ def test_lm_probabilities_sum_to_one_and_beat_counts(spark):
     assert total == pytest.approx(1, rel=1e-3)
     parts = [symbols.of(lm.words(r["text"] or "")) for r in docs.collect()]
     assert network.log_probs(parts, tables).mean() > network.log_corpus[np.concatenate(parts)].mean()
+
+
+def test_lm_trains_on_every_document(spark):
+    """A pattern that only documents outside of any sample by the least hashes hold is learned, whatever the partitions."""
+    rng = np.random.default_rng(6)
+    outside = {r["id"] for r in spark.range(3000).where(F.pmod(F.xxhash64(F.lit(lm.SEED), "id"), F.lit(3000)) >= 800).where("id % 40 = 0").collect()}
+    texts = ["ping pong " * 20 if k in outside else " ".join(f"w{x}" for x in rng.integers(0, 50, 40)) for k in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    (symbols, network), (_, again) = (lm.train(docs.repartition(n), group=20_000) for n in (3, 5))
+    assert network.tokens == 3000 * 40
+    part = symbols.of(lm.words("ping pong " * 20))
+    found = network.log_probs([part], network.tables())
+    assert found[2:-2].mean() > network.log_corpus[part].mean() + 2
+    assert again.log_probs([part], again.tables()) == pytest.approx(found, rel=1e-4)
