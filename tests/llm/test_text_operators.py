@@ -329,3 +329,27 @@ def test_lm_trains_on_every_document(spark):
     found = network.log_probs([part], network.tables())
     assert found[2:-2].mean() > network.log_corpus[part].mean() + 2
     assert again.log_probs([part], again.tables()) == pytest.approx(found, rel=1e-4)
+
+
+@pytest.mark.parametrize("frequent", [0, 900, 1 << 17])
+def test_lm_tells_words_of_a_symbol_apart(spark, docs, texts, monkeypatch, frequent):
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    counts = Counter(w for _, t, _ in texts for w in lm.words(t))
+    table = lm.word_counts(docs).cache()
+    symbols, network = lm.train(docs, table)
+    total = Counter()
+    for w, n in counts.items():
+        total[symbols.of([w])[0]] += n
+    assert len(counts) > 2 * lm.SIZE
+
+    def log_prob(t):
+        ws = lm.words(t)
+        apart = sum(np.log(max(1, counts[w]) / (total[symbols.of([w])[0]] + 1)) for w in ws if w not in symbols)
+        return network.log_probs([symbols.of(ws)], network.tables()).sum() + apart
+
+    other = [(-5, "words never seen: qqqxyzzy qqqyyzzy"), (-6, "")]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(other, "doc_id long, text string"))
+    want = [(d, len(lm.words(t)), log_prob(t)) for d, t, *_ in [*texts, *other]]
+    for got, exp in zip(sorted(lm.scored(more, (symbols, network), table).collect(), key=lambda r: key(r[:2]) + (r[2],)), sorted(want, key=lambda r: key(r[:2]) + (r[2],)), strict=True):
+        assert (got["doc_id"], got["n_words"]) == exp[:2] and got["log_prob"] == pytest.approx(exp[2], rel=1e-5)
+    assert got["mean_log_prob"] == got["log_prob"] / got["n_words"]
