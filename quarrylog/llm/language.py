@@ -128,10 +128,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = FOLDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([counts(t).astype("<u2").tobytes() for t in texts(b)], pa.binary())], ["doc_id", "lang", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([counts(t).astype("<u4").tobytes() for t in texts(b)], pa.binary())], ["doc_id", "lang", "found"])
 
     rows = sorted(sample.mapInArrow(run, "doc_id long, lang string, found binary").collect(), key=lambda r: (r["lang"], r["doc_id"] or 0, r["found"]))
-    return Centroids([r["lang"] for r in rows], np.array([np.frombuffer(r["found"], "<u2") for r in rows], float).reshape(-1, DIMS))
+    return Centroids([r["lang"] for r in rows], np.array([np.frombuffer(r["found"], "<u4") for r in rows], float).reshape(-1, DIMS))
 
 
 def predicted(docs: DataFrame, model: Centroids, keep: list[str], text: str = "text") -> DataFrame:

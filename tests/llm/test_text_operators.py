@@ -145,6 +145,16 @@ def test_language(spark, docs, texts):
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_counts_of_long_documents(spark):
+    """Counts beyond 16 bits reach the centroids whole."""
+    texts = ["ab cd " * 70_000, "the cat and the dog " * 20]
+    ids = [k for k in range(20) if zlib.crc32(str(k).encode()) % 5][:2]
+    docs = spark.createDataFrame(list(zip(ids, texts, ["en", "en"], strict=True)), "doc_id long, text string, lang string")
+    found = np.array([language.counts(t) for t in texts], float)
+    assert found.max() > 1 << 16
+    assert np.allclose(language.train(docs).centroids, language.Centroids(["en", "en"], found).centroids)
+
+
 # --- mixing and sharding ------------------------------------------------------------------------------------------------------------
 
 
