@@ -54,6 +54,17 @@ def test_near_duplicates_across_tight_groups(spark):
     assert [(found[k]["n_links"], found[k]["component_id"]) for k in range(len(m))] == list(zip(near.sum(1).tolist(), least.tolist(), strict=True))
 
 
+def test_audit_sees_small_groups_beside_a_hot_one(spark):
+    m = planted(900, [300] + [2] * 100, 7)
+    near = (u := m / np.linalg.norm(m, axis=1, keepdims=True)) @ u.T >= 0.9
+    linked = near.sum(1) - 1
+    nodes = spark.createDataFrame([(k, 1, x.tolist()) for k, x in enumerate(m)], "node long, copies long, embedding array<double>")
+    # all links of the hot group, none of the pairs
+    degrees = spark.createDataFrame([(k, int(n), True) for k, n in enumerate(linked) if n > 1], "node long, linked long, exact boolean")
+    assert linked[linked > 1].sum() > 0.98 * linked.sum() and (linked == 1).sum() > 100
+    assert neighbours.audit(nodes, degrees, 0.9) < 0.5
+
+
 def test_near_duplicates_of_odd_rows(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     rows = {r["vec_id"]: tuple(r)[1:] for r in neighbours.near_duplicates(df).collect()}
