@@ -151,8 +151,9 @@ def _merged(rows: DataFrame, k: int, parts: int) -> DataFrame:
     return rows.repartition(parts, "u").sortWithinPartitions("u").mapInArrow(run, _GRAPH)
 
 
-def better(graph: DataFrame, nodes: DataFrame, k: int, parts: int) -> DataFrame:
-    """One round of NN-descent: the lists after each neighbourhood's members were compared with one another."""
+def better(graph: DataFrame, nodes: DataFrame, k: int, parts: int, turn: int = 0) -> DataFrame:
+    """One round of NN-descent: the lists after each neighbourhood's members were compared with one another. Members of large ones are dealt
+    anew each turn and all count as new, as those of other groups weren't compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches, 2):
@@ -177,7 +178,8 @@ def better(graph: DataFrame, nodes: DataFrame, k: int, parts: int) -> DataFrame:
     ways = ways.groupBy("center", "member").agg(F.max("new").alias("new"))
     busy = written(ways.groupBy("center").agg(F.count("*").alias("n")).where(F.col("n") > MEMBERS).select(F.col("center").alias("busy"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("groups")), "busy")
     ways = ways.join(busy, F.col("center") == F.col("busy"), "left")
-    ways = ways.withColumn("group", F.when(F.col("busy").isNull(), 0).otherwise(F.pmod(F.xxhash64("center", "member"), F.col("groups"))).cast("int"))
+    ways = ways.withColumn("group", F.when(F.col("busy").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(turn), "center", "member"), F.col("groups"))).cast("int"))
+    ways = ways.withColumn("new", F.col("new") | F.col("busy").isNotNull())
     dealt = ways.join(info, F.col("member") == F.col("node")).select("center", "group", "member", "new", "floor", "embedding")
     found = dealt.repartition(parts, "center", "group").sortWithinPartitions("center", "group").mapInArrow(run, _GRAPH)
     return _merged(graph.withColumn("new", F.lit(False)).union(found), k, parts)
@@ -325,9 +327,9 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = K, s
     nodes = written(equal.withColumn("node", F.monotonically_increasing_id()), "nodes")
     n, parts = nodes.count(), partitions(nodes, per=1 << 20)
     graph = written(first_lists(nodes, k, seed=seed), "graph")
-    while True:
-        for _ in range(ROUNDS):
-            graph = written(better(graph, nodes, k, parts), "graph")
+    for turn in itertools.count(step=ROUNDS):
+        for r in range(ROUNDS):
+            graph = written(better(graph, nodes, k, parts, turn + r), "graph")
             if graph.where("new").count() <= STILL * n * k:
                 break
         degrees, rooted = _links(graph, nodes, k, threshold)

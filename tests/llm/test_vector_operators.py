@@ -54,6 +54,15 @@ def test_near_duplicates_across_tight_groups(spark):
     assert [(found[k]["n_links"], found[k]["component_id"]) for k in range(len(m))] == list(zip(near.sum(1).tolist(), least.tolist(), strict=True))
 
 
+def test_members_of_a_hub_meet_in_later_rounds(spark):
+    """Node 0 is in 400 lists, whose owners are a group; pairs dealt to different groups in one round are compared in another."""
+    m = planted(400, [400], 8)
+    nodes = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "node long, embedding array<double>").cache()
+    graph = spark.createDataFrame([(k, 0, 0.5, False) for k in range(1, 400)], neighbours._GRAPH)
+    met = [{(r["u"], r["v"]) for r in neighbours.better(graph, nodes, 400, 4, turn).where("new").collect()} for turn in range(2)]
+    assert met[0] and len(met[1] - met[0]) > 0.5 * len(met[1])
+
+
 def test_audit_sees_small_groups_beside_a_hot_one(spark):
     m = planted(900, [300] + [2] * 100, 7)
     near = (u := m / np.linalg.norm(m, axis=1, keepdims=True)) @ u.T >= 0.9
