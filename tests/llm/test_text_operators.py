@@ -363,3 +363,24 @@ def test_lm_tells_words_of_a_symbol_apart(spark, docs, texts, monkeypatch, frequ
     for got, exp in zip(sorted(lm.scored(more, (symbols, network), table).collect(), key=lambda r: key(r[:2]) + (r[2],)), sorted(want, key=lambda r: key(r[:2]) + (r[2],)), strict=True):
         assert (got["doc_id"], got["n_words"]) == exp[:2] and got["log_prob"] == pytest.approx(exp[2], rel=1e-5)
     assert got["mean_log_prob"] == got["log_prob"] / got["n_words"]
+
+
+def test_lm_deals_repeated_rows_over_groups(spark):
+    """A third of all rows are one row: no group holds them all."""
+    rng = np.random.default_rng(3)
+    texts = [(None, "same words here " * 20)] * 300 + [(k, " ".join(f"w{x}" for x in rng.integers(0, 50, 60))) for k in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sizes = []
+    fit = lm._trained
+
+    def trained(rows, start, groups, *rest):
+        sizes.append([r["count"] for r in rows.groupBy("group").count().collect()])
+        return fit(rows, start, groups, *rest)
+
+    try:
+        lm._trained = trained
+        _, network = lm.train(docs, group=5_000)
+    finally:
+        lm._trained = fit
+    assert network.tokens == 900 * 60
+    assert max(map(max, sizes)) < 90
