@@ -2,7 +2,8 @@
 
 Kinds are email, ip, card and phone. Base spans come from patterns (base_spans). The network reads characters as SYMBOLS classes, in windows of WINDOW
 characters every STRIDE; each window is decoded by Viterbi, its spans weighed by the CRF's posterior. Spans that touch an inner edge
-of their window are left to the next window, which holds them whole. Per document the spans of all windows and the base
+of their window are left to the next window, which holds those of up to STRIDE characters whole; what no window held whole is
+read again in the middle of a longer one, until no edge cuts it. Per document the spans of all windows and the base
 spans are reconciled at once: base spans stay, and of the rest the set without overlaps of the greatest total weight is
 taken (weighted interval scheduling). A span added must have the form of its kind (well_formed), and a weight of SURE.
 
@@ -15,6 +16,7 @@ Nulls: a null text is empty and has no spans; null doc_ids are kept. Repeated ro
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -29,6 +31,10 @@ from quarrylog.llm.common import column, session, texts
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
+#: Length of the longer windows that the network is trained on last.
+LONG = 480
+#: Characters of windows that are decoded at once, about.
+CELLS = 512 * WINDOW
 SURE = 0.9
 TRAIN, EPOCHS, BATCH, SEED = 2048, 12, 64, 17
 EMBED, HIDDEN = 12, 16
@@ -72,12 +78,18 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def _octet(digits: str) -> bool:
+    """If the digits, however many zeros come first, are at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches of each kind that pass its test, in order of start, then kind."""
     if not _ANY.search(text):
         return []
     out = [(a, 0, b) for a, b in _emails(text)]
-    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(map(_octet, m.groups()))]
     out += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     out += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return sorted(out)
@@ -140,11 +152,13 @@ def _word(rng) -> str:
     return "".join(rng.choice(list("etaoinshrdlucmfpgywbvk"), rng.integers(2, 9)))
 
 
-def _positive(rng, kind: int) -> str:
+def _positive(rng, kind: int, words: int = 12) -> str:
     pick = lambda *x: x[rng.integers(len(x))]
     if kind == 0:
         user, host, top = _word(rng) + pick("", "." + _word(rng), _number(rng, ".dd"), "_" + _word(rng)), _word(rng) + pick("", _number(rng, "d"), "-" + _word(rng)), pick("com", "org", "net", "example.com", "co.uk", "de")
-        return pick(f"{user}@{host}.{top}", f"{user}@{host}.{top}", f"{user} @ {host}.{top}", f"{user}@{host} . {top}")
+        if rng.random() < 0.4:  # long ones
+            user, host = (pick("", ".", "-", "_").join(_word(rng) for _ in range(rng.integers(2, words))) for _ in range(2))
+        return pick(f"{user}@{host}.{top}", f"{user}@{host}.{top}", f"{user} @ {host}.{top}", f"{user} @ {host}.{top}", f"{user}@{host} . {top}")
     if kind == 1:
         parts = [str(rng.integers(256)) for _ in range(4)]
         return pick(".", ".", " . ", "[.]").join(parts)
@@ -159,17 +173,17 @@ def _negative(rng) -> str:
     return pick(hexa, hexa, _number(rng, "dddd-dd-dd"), _number(rng, "dd:dd:dd"), _number(rng, "d.dd"), _number(rng, "d.d.d"), _number(rng, "dddd"), _number(rng, "d" * int(rng.integers(5, 24))), "#" + _number(rng, "ddddd"), "@" + _word(rng), _number(rng, "dd%"), _number(rng, "ddd,ddd"), "password=" + hexa[:18], f'token = "{hexa}"')
 
 
-def labelled(n: int = TRAIN, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of symbols and their tags."""
+def labelled(n: int = TRAIN, seed: int = SEED, window: int = WINDOW, words: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of symbols and their tags; long addresses have two parts of up to `words` words."""
     rng = np.random.default_rng(seed)
-    x, y = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
+    x, y = np.zeros((n, window), np.int64), np.zeros((n, window), np.int64)
     for row in range(n):
         text, tags = "", []
-        while len(text) < WINDOW + 8:
+        while len(text) < window + 8:
             what = rng.random()
             if what < 0.16:
                 kind = int(rng.integers(len(KINDS)))
-                s = _positive(rng, kind)
+                s = _positive(rng, kind, words)
                 tags += [1 + 2 * kind] + [2 + 2 * kind] * (len(s) - 1)
             else:
                 s = _negative(rng) if what < 0.3 else _word(rng)
@@ -177,7 +191,7 @@ def labelled(n: int = TRAIN, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
             gap = (" ", " ", " ", ". ", ", ", "\n", " = ")[rng.integers(7)]
             text, tags = text + s + gap, tags + [0] * len(gap)
         cut = int(rng.integers(0, 8))
-        x[row], y[row] = symbols(text)[cut : cut + WINDOW], tags[cut : cut + WINDOW]
+        x[row], y[row] = symbols(text)[cut : cut + window], tags[cut : cut + window]
     return x, y
 
 
@@ -217,8 +231,8 @@ def emissions(p: dict, x: np.ndarray, keep: bool = False):
     return (h @ p["out"] + p["bias"], h, sides) if keep else h @ p["out"] + p["bias"]
 
 
-def posteriors(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each position's tag probabilities, and the expected transitions, under the CRF."""
+def posteriors(e: np.ndarray, trans: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Each position's tag probabilities, and the expected transitions unless they aren't asked for, under the CRF."""
     n, steps, tags = e.shape
     step = np.exp(trans)
     pot = np.exp(e - e.max(2, keepdims=True))
@@ -233,6 +247,8 @@ def posteriors(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray
         b[:, t] = v / v.sum(1, keepdims=True)
     m = a * b
     m /= m.sum(2, keepdims=True)
+    if not pairs:
+        return m, None
     pair = a[:, :-1, :, None] * step * (pot * b)[:, 1:, None, :]
     return m, (pair / pair.sum((2, 3), keepdims=True)).sum((0, 1))
 
@@ -281,6 +297,21 @@ def _side_gradients(p: dict, x: np.ndarray, dh_out: np.ndarray, kept: dict, s: s
     grads["embed"] = grads.get("embed", 0) + per_symbol @ p["wx" + s].T
 
 
+def _gradients(p: dict, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean of -ln p(y | x)."""
+    e, h, sides = emissions(p, x, keep=True)
+    de, pairs = posteriors(e.astype(float), p["trans"] + allowed())
+    np.put_along_axis(de, y[:, :, None], np.take_along_axis(de, y[:, :, None], 2) - 1, 2)
+    de = (de / len(x)).astype(np.float32)
+    np.add.at(pairs, (y[:, :-1], y[:, 1:]), -1.0)
+    grads = {"trans": (pairs / len(x)).astype(np.float32), "out": np.einsum("nth,ntk->hk", h, de), "bias": de.sum((0, 1))}
+    dh = de @ p["out"].T
+    steps = list(range(x.shape[1]))
+    _side_gradients(p, x, dh[:, :, :HIDDEN], sides[0][1], "f", steps, grads)
+    _side_gradients(p, x, dh[:, :, HIDDEN:], sides[1][1], "b", steps[::-1], grads)
+    return grads
+
+
 @functools.lru_cache(maxsize=1)
 def trained(n: int = TRAIN, epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
     """The network's parameters: likelihood of the labelled windows, by Adam."""
@@ -290,31 +321,21 @@ def trained(n: int = TRAIN, epochs: int = EPOCHS, seed: int = SEED) -> dict[str,
     for s in "fb":
         p |= {"wx" + s: draw(EMBED, 4 * HIDDEN), "wh" + s: draw(HIDDEN, 4 * HIDDEN), "b" + s: np.zeros(4 * HIDDEN, np.float32)}
         p["b" + s][HIDDEN : 2 * HIDDEN] = 1  # cells remember at first
-    x, y = labelled(n, seed)
+    sets = [(*labelled(n, seed), epochs), (*labelled(n // 8, seed + 1, LONG, LONG // 12), epochs // 2)]
+    steps = sum(rounds * -(-len(x) // (BATCH * WINDOW // x.shape[1])) for x, _, rounds in sets)
     first, second, k = {c: np.zeros_like(v) for c, v in p.items()}, {c: np.zeros_like(v) for c, v in p.items()}, 0
-    for epoch in range(epochs):
-        order = rng.permutation(n)
-        for at in range(0, n, BATCH):
-            xb, yb = x[order[at : at + BATCH]], y[order[at : at + BATCH]]
-            e, h, sides = emissions(p, xb, keep=True)
-            m, pairs = posteriors(e.astype(float), p["trans"] + allowed())
-            de = m
-            np.put_along_axis(de, yb[:, :, None], np.take_along_axis(de, yb[:, :, None], 2) - 1, 2)
-            de = (de / len(xb)).astype(np.float32)
-            np.add.at(pairs, (yb[:, :-1], yb[:, 1:]), -1.0)
-            grads = {"trans": (pairs / len(xb)).astype(np.float32), "out": np.einsum("nth,ntk->hk", h, de), "bias": de.sum((0, 1))}
-            dh = de @ p["out"].T
-            steps = list(range(WINDOW))
-            _side_gradients(p, xb, dh[:, :, :HIDDEN], sides[0][1], "f", steps, grads)
-            _side_gradients(p, xb, dh[:, :, HIDDEN:], sides[1][1], "b", steps[::-1], grads)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            k += 1
-            rate = 0.02 * (1 - 0.9 * k / (epochs * -(-n // BATCH)))
-            for c, g in grads.items():
-                g = g * min(1.0, 5.0 / max(norm, 1e-9))
-                first[c] = 0.9 * first[c] + 0.1 * g
-                second[c] = 0.99 * second[c] + 0.01 * g * g
-                p[c] = (p[c] - rate * (first[c] / (1 - 0.9**k)) / (np.sqrt(second[c] / (1 - 0.99**k)) + 1e-6)).astype(np.float32)
+    for x, y, rounds in sets:
+        for order in (rng.permutation(len(x)) for _ in range(rounds)):
+            for some in np.array_split(order, -(-len(x) // (BATCH * WINDOW // x.shape[1]))):
+                k += 1
+                grads = _gradients(p, x[some], y[some])
+                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+                rate = 0.02 * (1 - 0.9 * k / steps)
+                for c, g in grads.items():
+                    g = g * min(1.0, 5.0 / max(norm, 1e-9))
+                    first[c] = 0.9 * first[c] + 0.1 * g
+                    second[c] = 0.99 * second[c] + 0.01 * g * g
+                    p[c] = (p[c] - rate * (first[c] / (1 - 0.9**k)) / (np.sqrt(second[c] / (1 - 0.99**k)) + 1e-6)).astype(np.float32)
     return p
 
 
@@ -333,61 +354,130 @@ def windows(text: str) -> list[int]:
 
 
 def decoded(p: dict, x: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
-    """Window, start, kind, end, weight of the spans of each window."""
+    """Window, start, kind, end, weight of the spans of each window; one that begins before the window has an inside tag first."""
     e = emissions(p, x)
     trans = p["trans"] + allowed()
-    tags, m = viterbi(e, trans), posteriors(e.astype(float), trans)[0]
+    tags, m = viterbi(e, trans), posteriors(e.astype(float), trans, pairs=False)[0]
     sure = np.take_along_axis(m, tags[:, :, None], 2)[:, :, 0]
-    for w, a in zip(*np.nonzero(tags % 2 == 1), strict=True):
-        b = a + 1
-        while b < x.shape[1] and tags[w, b] == tags[w, a] + 1:
+    begins = tags % 2 == 1
+    begins[:, 0] |= tags[:, 0] > 0
+    for w, a in zip(*np.nonzero(begins), strict=True):
+        kind, b = (tags[w, a] - 1) // 2, a + 1
+        while b < x.shape[1] and tags[w, b] == 2 + 2 * kind:
             b += 1
-        yield int(w), int(a), int(tags[w, a] // 2), int(b), float(sure[w, a:b].mean())
+        yield int(w), int(a), int(kind), int(b), float(sure[w, a:b].mean())
+
+
+def extendable(s: str, kind: int) -> bool:
+    """If a text that begins, ends or goes on with s can have the form of its kind."""
+    if kind == 0:
+        return s.count("@") <= 1 and len(re.findall(r"\s", s)) <= 4
+    return sum(map(str.isdigit, s)) <= (12, 19, 15)[kind - 1]
+
+
+class _Reading:
+    """The spans of some texts by the network, a batch of windows of one length at a time."""
+
+    def __init__(self, p: dict, some: list[str], base: list[list[Span]]):
+        self.p, self.some, self.base = p, some, base
+        self.found: list[list[tuple[int, int, int, float]]] = [[] for _ in some]
+        self.cut: list[tuple[int, int, int, int]] = []  # text, start, kind, end of spans that touch an inner edge of their window
+
+    def decode(self, todo: list[tuple[int, int]], length: int) -> None:
+        x = np.zeros((len(todo), length), np.int64)
+        for row, (n, start) in enumerate(todo):
+            s = symbols(self.some[n][start : start + length])
+            x[row, : len(s)] = s
+        for w, a, kind, b, sure in decoded(self.p, x):
+            n, start = todo[w]
+            if (a == 0 and start > 0) or (b == length and start + length < len(self.some[n])):
+                self.cut.append((n, start + a, kind, start + b))
+            elif start + b <= len(self.some[n]):
+                self.found[n].append((start + a, kind, start + b, sure))
+
+    def stretches(self) -> list[tuple[int, int, int]]:
+        """Text, start, end of what has to be read again: cut spans, joined where they overlap, that no whole span covers."""
+        taken = {n: Cover([(a, b) for a, _, b in self.base[n]] + [(a, b) for a, k, b, w in self.found[n] if w >= SURE and well_formed(self.some[n], (a, k, b))]) for n in {c[0] for c in self.cut}}
+        out: list[tuple[int, int, int]] = []
+        for n, a, kind, b in sorted(self.cut, key=lambda c: (c[0], c[1])):
+            if taken[n].meets(a, b) or not extendable(self.some[n][a:b], kind):
+                continue
+            if out and out[-1][0] == n and a <= out[-1][2]:
+                out[-1] = (n, out[-1][1], max(b, out[-1][2]))
+            else:
+                out.append((n, a, b))
+        self.cut.clear()
+        return out
+
+    def again(self) -> None:
+        """Reads cut spans once more, in the middle of windows twice as long as they are and more, until none is cut."""
+        while todo := self.stretches():
+            by: dict[int, list[tuple[int, int]]] = {}
+            for n, a, b in todo:
+                length = 2 * WINDOW
+                while length < 3 * (b - a):
+                    length *= 2
+                by.setdefault(length, []).append((n, max(0, (a + b - length) // 2)))
+            for length, some in by.items():
+                rows = max(1, CELLS // length)
+                for at in range(0, len(some), rows):
+                    self.decode(some[at : at + rows], length)
+
+
+class Cover:
+    """Ranges, joined where they overlap."""
+
+    def __init__(self, ranges: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(ranges):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.starts, b) - 1
+        return k >= 0 and self.ends[k] > a
 
 
 def reconciled(text: str, base: list[Span], found: list[tuple[int, int, int, float]]) -> list[Span]:
     """Base spans, and of found (start, kind, end, weight) the heaviest set without overlaps."""
     weight: dict[Span, float] = {}
+    taken = Cover([(a, b) for a, _, b in base])
     for a, kind, b, w in found:
-        if w >= SURE and well_formed(text, (a, kind, b)) and not any(a < y and x < b for x, _, y in base):
+        if w >= SURE and not taken.meets(a, b) and well_formed(text, (a, kind, b)):
             weight[a, kind, b] = max(w, weight.get((a, kind, b), 0.0))
     spans = sorted(weight, key=lambda s: (s[2], s))
-    best: list[tuple[float, list[Span]]] = [(0.0, [])]
+    ends = [s[2] for s in spans]
+    best, before = [0.0], []  # the weight of the first n spans' best set; of a set that ends with a span, how many come before it
     for n, s in enumerate(spans):
-        k = n
-        while k and spans[k - 1][2] > s[0]:
-            k -= 1
-        take = (best[k][0] + weight[s] * (s[2] - s[0]), [*best[k][1], s])
-        best.append(max(best[n], take, key=lambda x: x[0]))
-    return sorted([*base, *best[-1][1]])
+        before.append(bisect.bisect_right(ends, s[0], 0, n))
+        best.append(max(best[n], best[before[n]] + weight[s] * (s[2] - s[0])))
+    chosen, n = [], len(spans)
+    while n:
+        if best[n] == best[n - 1]:
+            n -= 1
+        else:
+            chosen.append(spans[n - 1])
+            n = before[n - 1]
+    return sorted([*base, *chosen])
 
 
 def find(p: dict, some: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and all spans of each text."""
     base = [base_spans(t) for t in some]
-    found: list[list[tuple[int, int, int, float]]] = [[] for _ in some]
-    todo: list[tuple[int, int]] = []
-
-    def run() -> None:
-        x = np.zeros((len(todo), WINDOW), np.int64)
-        for row, (n, start) in enumerate(todo):
-            s = symbols(some[n][start : start + WINDOW])
-            x[row, : len(s)] = s
-        for w, a, kind, b, sure in decoded(p, x):
-            n, start = todo[w]
-            inner = (a == 0 and start > 0) or (b == WINDOW and start + WINDOW < len(some[n]))
-            if not inner and start + b <= len(some[n]):
-                found[n].append((start + a, kind, start + b, sure))
-        todo.clear()
-
+    reading, todo = _Reading(p, some, base), []
     for n, t in enumerate(some):
         for start in windows(t):
             todo.append((n, start))
-            if len(todo) == 512:
-                run()
+            if len(todo) == CELLS // WINDOW:
+                reading.decode(todo, WINDOW)
+                todo = []
     if todo:
-        run()
-    return [(b, reconciled(t, b, f)) for t, b, f in zip(some, base, found, strict=True)]
+        reading.decode(todo, WINDOW)
+    reading.again()
+    return [(b, reconciled(t, b, f)) for t, b, f in zip(some, base, reading.found, strict=True)]
 
 
 def spans(docs: DataFrame) -> DataFrame:

@@ -384,3 +384,81 @@ def test_lm_deals_repeated_rows_over_groups(spark):
         lm._trained = fit
     assert network.tokens == 900 * 60
     assert max(map(max, sizes)) < 90
+
+
+def test_lm_equals_a_plain_computation(spark):
+    rng = np.random.default_rng(8)
+    texts = ["", "one", *(" ".join(rng.choice(["the", "cat", "sat", "on", "mat", "zyx", "qrs"], n)) for n in (2, 3, 5, 40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = lm.word_counts(docs)
+    symbols, network = lm.train(docs, table)
+    p, counts = network.p, Counter(w for t in texts for w in lm.words(t))
+    total = np.ones(lm.SIZE)
+    for w, n in counts.items():
+        total[symbols.of([w])[0]] += n
+
+    def token(s, k):
+        around = [s[k + d] if 0 <= k + d < len(s) else lm.PAD for d in range(-lm.WIDTH, lm.WIDTH + 1) if d]
+        h = np.tanh(sum(p["embed"][c].astype(float) @ p["first"][d] for d, c in enumerate(around)) + p["bias"])
+        cls, member = divmod(int(s[k]), lm.MEMBERS)
+        a, b = np.exp(h @ p["cls"] + p["cls_bias"]), np.exp(h @ p["member"][cls] + p["member_bias"][cls])
+        return np.log(lm.MIX * a[cls] / a.sum() * b[member] / b.sum() + (1 - lm.MIX) * total[s[k]] / total.sum())
+
+    found = {r["doc_id"]: r["log_prob"] for r in lm.scored(docs, (symbols, network), table).collect()}
+    for doc_id, t in enumerate(texts):
+        s = symbols.of(lm.words(t))
+        apart = sum(np.log(counts[w] / total[symbols.of([w])[0]]) for w in lm.words(t) if w not in symbols)
+        assert found[doc_id] == pytest.approx(sum(token(s, k) for k in range(len(s))) + apart, rel=1e-4, abs=1e-6)
+
+
+# --- personal data: long texts and long spans ------------------------------------------------------------------------------------------
+
+
+def test_pii_long_runs_of_digits(spark):
+    runs = ["0" * 5000 + ".1.2.3", "9" * 5000 + ".1.2.3", "1." * 5000, "7" * 100_000, "+" + "1 " * 5000, "@" * 5000, "1@" * 5000]
+    for text in runs[1:]:
+        assert pii.base_spans(text) == ([] if len(text) > 10_000 or text[0] == "9" else base(text))
+    assert pii.listed(pii.base_spans(runs[0])) == "ip:0:5006"
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(runs)], "doc_id long, text string")
+    assert pii.spans(docs).count() == len(runs)
+    assert pii.redacted(docs).where("doc_id = 0").first()["text"] == "[IP]"
+
+
+@pytest.mark.parametrize("length", [49, 76, 140, 400])
+def test_pii_finds_spans_longer_than_a_stride(length):
+    rng = np.random.default_rng(length)
+    word = lambda n: "".join(rng.choice(list("etaoinshrdlucmfpg"), n))
+    found = []
+    for shift in range(0, 2 * pii.STRIDE, 4):
+        user = (length - 7) // 2
+        address = f"{word(user)} @ {word(length - user - 7)}.com"
+        text = "word " * 13 + "x" * shift + " " + address + " " + "so it goes " * 12
+        at = 66 + shift
+        found.append(f"email:{at}:{at + length}" in pii.listed(pii.find(pii.trained(), [text])[0][1]).split(","))
+    assert np.mean(found) >= 0.9
+
+
+def test_reconciled_equals_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    text = "415 555 2671 " * 8
+    for _ in range(200):
+        spans = []
+        for _ in range(7):
+            a = 13 * int(rng.integers(0, 7))
+            spans.append((a, 3, a + int(rng.choice([12, 12, 25])), float(rng.choice([0.5, 0.91, 0.95, 0.99]))))
+        base_ = [(13 * int(rng.integers(0, 8)), 2, 13 * 8)] if rng.random() < 0.3 else []
+        good = {}
+        for a, k, b, w in spans:
+            if w >= pii.SURE and pii.well_formed(text, (a, k, b)) and not any(a < y and x < b for x, _, y in base_):
+                good[a, k, b] = max(w, good.get((a, k, b), 0))
+        best = 0.0
+        for n in range(len(good) + 1):
+            for some in itertools.combinations(good, n):
+                if all(x[2] <= y[0] or y[2] <= x[0] for x, y in itertools.combinations(some, 2)):
+                    best = max(best, sum(good[s] * (s[2] - s[0]) for s in some))
+        got = pii.reconciled(text, base_, spans)
+        added = [s for s in got if s not in base_]
+        assert all(x[2] <= y[0] for x, y in itertools.pairwise(added)) and set(added) <= set(good) and set(base_) <= set(got)
+        assert sum(good[s] * (s[2] - s[0]) for s in added) == pytest.approx(best)
