@@ -383,13 +383,16 @@ class _Reading:
         self.found: list[list[tuple[int, int, int, float]]] = [[] for _ in some]
         self.cut: list[tuple[int, int, int, int]] = []  # text, start, kind, end of spans that touch an inner edge of their window
 
-    def decode(self, todo: list[tuple[int, int]], length: int) -> None:
+    def decode(self, todo: list[tuple[int, int, int, int]], length: int) -> None:
+        """todo: text, start of the window, and the range of the text that spans have to meet."""
         x = np.zeros((len(todo), length), np.int64)
-        for row, (n, start) in enumerate(todo):
+        for row, (n, start, *_) in enumerate(todo):
             s = symbols(self.some[n][start : start + length])
             x[row, : len(s)] = s
         for w, a, kind, b, sure in decoded(self.p, x):
-            n, start = todo[w]
+            n, start, low, high = todo[w]
+            if start + a >= high or start + b <= low:
+                continue
             if (a == 0 and start > 0) or (b == length and start + length < len(self.some[n])):
                 self.cut.append((n, start + a, kind, start + b))
             elif start + b <= len(self.some[n]):
@@ -410,14 +413,16 @@ class _Reading:
         return out
 
     def again(self) -> None:
-        """Reads cut spans once more, in the middle of windows twice as long as they are and more, until none is cut."""
+        """Reads cut spans once more in the middle of longer windows, which double from round to round, until none is cut."""
+        least = WINDOW
         while todo := self.stretches():
-            by: dict[int, list[tuple[int, int]]] = {}
+            least *= 2
+            by: dict[int, list[tuple[int, int, int, int]]] = {}
             for n, a, b in todo:
-                length = 2 * WINDOW
+                length = least
                 while length < 3 * (b - a):
                     length *= 2
-                by.setdefault(length, []).append((n, max(0, (a + b - length) // 2)))
+                by.setdefault(length, []).append((n, max(0, (a + b - length) // 2), a, b))
             for length, some in by.items():
                 rows = max(1, CELLS // length)
                 for at in range(0, len(some), rows):
@@ -470,7 +475,7 @@ def find(p: dict, some: list[str]) -> list[tuple[list[Span], list[Span]]]:
     reading, todo = _Reading(p, some, base), []
     for n, t in enumerate(some):
         for start in windows(t):
-            todo.append((n, start))
+            todo.append((n, start, start, start + WINDOW))
             if len(todo) == CELLS // WINDOW:
                 reading.decode(todo, WINDOW)
                 todo = []
