@@ -1,12 +1,12 @@
 """Exact top-k search by tiled matrix products.
 
-Rows are packed into shards of SHARD vectors, queries into tiles of TILE; each tile meets each shard in one matrix product, whose
-scores are cut to the k best of each query at once. The tiles' lists are merged as a tree, FAN at a time. A tile pair is a
-row of its own, so that work spreads over any number of tasks, and no task holds more than two tiles and their
-scores. Queries aren't broadcast: shards are dealt to as many slots as there are shards, and the tiles travel to each slot by an equi-join.
+Rows are packed into shards of SHARD vectors, queries into tiles of TILE. Shards are dealt to slots, as many as make a slot's shards fit
+into HELD bytes, and at least two for each core; a copy of each tile travels to each slot. A task keeps its slot's shards and reads the
+tiles one by one: each tile meets each shard in one matrix product, whose scores are cut to the k best of each query at once; the k-th
+best so far rules out queries that the next shard can't better. The slots' lists are merged as a tree, FAN at a time. Queries aren't broadcast.
 
 Components become floor(256 * x). Products of whole numbers are exact in double precision while sums stay below 2**53;
-rows that could go beyond are scored with Python's integers, and a score beyond a long is held at its end.
+pairs of rows that could go beyond are scored with Python's integers, and a score beyond a long is held at its end.
 
 Vectors that are null or hold null or non-finite components take no part. Shorter vectors count as filled up with zeros. Null vec_ids
 are no queries; as candidates they come last among ties. A candidate with the query's vec_id is the query's own row, so
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylog.llm.common import session, written
@@ -30,6 +30,8 @@ K = 5
 EVERY = 50
 SHARD = 4096
 TILE = 512
+#: Bytes of the shards of a slot, about.
+HELD = 128 << 20
 FAN = 32
 SCALE = 256.0
 _NO_ID = np.iinfo(np.int64).max
@@ -77,13 +79,20 @@ def _packs(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _inner(q: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers as doubles, exact; beyond 2**53 as Python integers, held within a long."""
-    top = np.abs(q).max(initial=0.0) * np.abs(s).max(initial=0.0) * max(1, q.shape[1])
-    if top < _EXACT:
-        return q @ s.T
-    a, b = [[int(x) for x in r] for r in q], [[int(x) for x in r] for r in s]
-    held = [[max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(r, t, strict=True)))) for t in b] for r in a]
-    return np.array(held, object)
+    """Inner products of whole numbers as doubles, exact; if a pair of rows could go beyond 2**53 as Python integers, held within a long."""
+    most = [np.abs(m).max(axis=1, initial=0.0) for m in (q, s)]
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = q @ s.T
+    if most[0].max(initial=0.0) * most[1].max(initial=0.0) * max(1, q.shape[1]) < _EXACT:
+        return scores
+    # a product of zeros is exact, however large the other rows are
+    large = most[0][:, None] * most[1][None, :] * max(1, q.shape[1]) >= _EXACT
+    out = np.where(large, 0, scores).astype(np.int64).astype(object)
+    whole: dict[tuple[int, int], list[int]] = {}
+    for i, j in zip(*np.nonzero(large), strict=True):
+        r, t = (whole.get(at) or whole.setdefault(at, [int(x) for x in m[at[1]]]) for m, at in ((q, (0, int(i))), (s, (1, int(j)))))
+        out[i, j] = max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(r, t, strict=True))))
+    return out
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
@@ -111,20 +120,39 @@ def _arrow(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.binary())) for c in names], names)
 
 
+_NONE = (np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.int64))
+
+
 def _search(k: int):
+    """Rows sorted by slot, a slot's shards first, then the tiles."""
+
+    def listed(q_ids: np.ndarray, q: np.ndarray, shards: list) -> list:
+        found = [_NONE] * len(q_ids)
+        least = np.full(len(q_ids), -np.inf)  # the k-th best so far, rounded down where a double can't hold it
+        for ids, known, s in shards:
+            dims = max(q.shape[1], s.shape[1], 1)
+            scores = _inner(*(np.pad(m, ((0, 0), (0, dims - m.shape[1]))) if m.shape[1] < dims else m for m in (q, s)))
+            own = (q_ids[:, None] == ids[None, :]) & (known == 1)[None, :]
+            scores[own] = None if scores.dtype == object else -np.inf
+            hopeful = np.arange(len(q_ids)) if scores.dtype == object else np.nonzero(scores.max(axis=1, initial=-np.inf) >= least)[0]
+            for n, c in zip(hopeful, _best(scores[hopeful], ids, k), strict=True):
+                found[n] = _merged(found[n], (ids[c], known[c], scores[n, c].astype(np.int64)), k)
+                if len(found[n][2]) == k:
+                    least[n] = np.nextafter(float(found[n][2][-1]), -np.inf)
+        return found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, shards = None, []
         for b in batches:
             for r in b.to_pylist():
-                dims = max(r["dims"], r["q_dims"], 1)
-                q_ids, ids, known = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["has_id"], np.uint8)
-                q = np.frombuffer(r["q_data"], np.float64).reshape(len(q_ids), -1)
-                s = np.frombuffer(r["data"], np.float64).reshape(len(ids), -1)
-                q, s = (np.pad(m, ((0, 0), (0, dims - m.shape[1]))) for m in (q, s))
-                scores = _inner(q, s)
-                own = (q_ids[:, None] == ids[None, :]) & (known == 1)[None, :]
-                scores[own] = None if scores.dtype == object else -np.inf
-                found = [(ids[c], known[c], scores[n, c]) for n, c in enumerate(_best(scores, ids, k))]
-                yield _arrow([_list_row(r["tile"], q_ids, found) | {"part": r["slot"] // FAN}])
+                if r["slot"] != slot:
+                    slot, shards = r["slot"], []
+                ids, known = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["has_id"], np.uint8)
+                m = np.frombuffer(r["data"], np.float64).reshape(len(ids), -1)
+                if r["asks"]:
+                    yield _arrow([_list_row(r["pack"], ids, listed(ids, m, shards)) | {"part": slot // FAN}])
+                else:
+                    shards.append((ids, known, m))
 
     return run
 
@@ -164,13 +192,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     shards = written(_packs(rows.where(finite()).select("vec_id", "embedding"), SHARD), "shards")
     n = shards.count()
     tiles = written(_packs(queries.where(finite()).select("vec_id", "embedding"), TILE), "tiles")
-    tiles = tiles.select(F.col("pack").alias("tile"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data"))
-    slots = max(1, n)
-    asked = tiles.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    dealt = shards.withColumn("slot", F.pmod(F.xxhash64("pack"), F.lit(slots)))
-    work = max(16, min(20_000, n * tiles.count()))
-    # no broadcast: the planner knows the tiles' size only before they are repeated for each slot
-    pairs = asked.repartition(work, "slot").hint("merge").join(dealt.repartition(work, "slot"), "slot")
+    size = shards.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    slots = max(1, min(n, max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-size // HELD))))
+    # packs are numbered within their writers; with the packs of the writers before, a row a writer, all are numbered without gaps
+    writer = F.shiftright("pack", 32)
+    before = Window.orderBy("writer").rowsBetween(Window.unboundedPreceding, -1)
+    first = written(shards.groupBy(writer.alias("writer")).agg(F.count("*").alias("n")).select("writer", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "writers")
+    number = F.col("first") + F.col("pack").bitwiseAND(F.lit((1 << 32) - 1))
+    dealt = shards.join(first, writer == F.col("writer")).withColumn("slot", F.pmod(number, F.lit(slots)).cast("int")).drop("writer", "first").withColumn("asks", F.lit(False))
+    asked = tiles.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).withColumn("asks", F.lit(True))
+    work = max(16, slots)
+    pairs = dealt.unionByName(asked).repartitionById(slots, "slot").sortWithinPartitions("slot", "asks", "pack")
     lists = pairs.mapInArrow(_search(k), _LISTS + ", part long")
     left = slots
     while True:

@@ -118,3 +118,37 @@ def test_components(spark):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if k != v}
+
+
+def test_topk_with_an_outlier_among_ordinary_rows(spark, monkeypatch):
+    """Products beyond 2**53 are exact, and only rows that need it are scored apart; shards, slots and tiles are many."""
+    monkeypatch.setattr(topk, "SHARD", 16)
+    monkeypatch.setattr(topk, "TILE", 4)
+    monkeypatch.setattr(topk, "HELD", 1024)
+    rng = np.random.default_rng(2)
+    m = np.round(rng.standard_normal((150, 3)), 3)
+    m[17] = [3e13, -1e13 - 0.25, 7.0]
+    m[60] = [2e12, 5e12, 0.125]
+    m[61:90] = m[30]  # ties
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    whole = [[int(x) for x in np.floor(256.0 * v)] for v in m]
+    want = []
+    for q in range(0, 150, 7):
+        scored = sorted((-sum(x * y for x, y in zip(whole[q], whole[c], strict=True)), c) for c in range(150) if c != q)[:5]
+        want += [(q, n + 1, c, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, c) in enumerate(scored)]
+    got = topk.search(df, df.where("vec_id % 7 = 0"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_neighbours_of_any_length(spark):
+    """Vectors of over 4096 components, of unequal lengths, and of equal direction but unequal values."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((6, 5000))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(base)]
+    rows += [(10 + k, [float(2 * x) for x in v]) for k, v in enumerate(base[:3])]
+    rows += [(20, [1.0]), (21, [3.0, 0.0]), (22, [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neighbours.near_duplicates(df).collect()}
+    want = {k: (1, k, True) for k in range(3)} | {k: (0, k, True) for k in range(3, 6)} | {10 + k: (1, k, False) for k in range(3)}
+    assert found == want | {20: (1, 20, True), 21: (1, 20, False), 22: (0, 22, True)}
