@@ -37,7 +37,7 @@ K = 16
 TABLES = 8
 BLOCK = 512
 MEMBERS = 128
-TILE = 256
+TILE = 1024
 #: Centers of tiles sent to the executors at once.
 CENTERS = 16_384
 AUDIT = 1024
@@ -100,7 +100,7 @@ def _signed(nodes: DataFrame, tables: int, seed: int) -> DataFrame:
                 continue
             m = unit(matrix(b.column(1)))
             for t in range(tables):
-                planes = np.random.default_rng([seed, t]).standard_normal((4096, 62))[: m.shape[1]]
+                planes = np.random.default_rng([seed, t]).standard_normal((m.shape[1], 62))  # longer vectors draw the same ones first
                 sig = ((m @ planes > 0) @ (1 << np.arange(61, -1, -1, dtype=np.int64))).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), t, np.int32)), pa.array(sig), b.column(0), b.column(1)], ["t", "sig", "node", "embedding"])
 
