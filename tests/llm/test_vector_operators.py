@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from quarrylog.llm import neighbours, topk
+from quarrylog.llm import components as components_module
 from quarrylog.llm.components import components
 
 ODD = [
@@ -152,3 +153,25 @@ def test_neighbours_of_any_length(spark):
     found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neighbours.near_duplicates(df).collect()}
     want = {k: (1, k, True) for k in range(3)} | {k: (0, k, True) for k in range(3, 6)} | {10 + k: (1, k, False) for k in range(3)}
     assert found == want | {20: (1, 20, True), 21: (1, 20, False), 22: (0, 22, True)}
+
+
+@pytest.mark.parametrize("hot", [2, 512])
+def test_components_of_hubs(spark, monkeypatch, hot):
+    """Stars, chains and hubs in the middle of the order, with repeated, reversed, null and own links."""
+    monkeypatch.setattr(components_module, "HOT", hot)
+    rng = np.random.default_rng(5)
+    pairs = [(500, k) for k in range(0, 60)] + [(k, k + 1) for k in range(100, 140)] + [(900, 901), (901, 900), (7, 7), (900, 900)]
+    pairs += [(int(a), int(b)) for a, b in rng.integers(200, 400, (90, 2))]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    links = spark.createDataFrame([*pairs, *pairs[:20], (None, 3), (4, None)], "a long, b long")
+    found = {r["node"]: r["root"] for r in components(links).collect()}
+    assert found == {x: find(x) for x in root if find(x) != x}
