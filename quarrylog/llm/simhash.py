@@ -282,15 +282,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id; among repeated rows of that id, any one."""
+    """docs with one row of each component: that of the smallest doc_id; among repeated rows of that id, the first written.
+
+    What stays is decided on ids, fingerprints and row numbers, summed to a row a fingerprint; the documents then meet a row number
+    each, so that the texts of a group of copies never gather."""
     c = Carried(docs)
-    prints = written(fingerprints(c.rows, c.own, shingle, seed, c["text"]), "prints-kept")
-    found = classes(prints.select(F.col(c["doc_id"]).alias("doc_id"), "_fp"), radius)
-    kept = prints.join(found, "_fp").where(F.col(c["doc_id"]).eqNullSafe(F.col("component_id")))
-    again = written(kept.groupBy("_root").agg(F.count("*").alias("n")).where("n > 1").select("_root"), "repeated-ids")
-    alone = kept.join(again, "_root", "left_anti").select(*c.own)
-    one = kept.join(again, "_root", "left_semi").dropDuplicates(["_root"]).select(*c.own)
-    return c.back(alone.union(one))
+    prints = fingerprints(c.rows, c.own, shingle, seed, c["text"])
+    prints = written(prints.withColumn("_row", F.monotonically_increasing_id()), "prints-kept")
+    doc_id = F.col(c["doc_id"])
+    roots = classes(prints.select(doc_id.alias("doc_id"), "_fp"), radius).select("_fp", "_root")
+    first = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("_row").alias("row")))
+    least = prints.groupBy("_fp").agg(first.alias("least")).join(roots, "_fp")
+    kept = written(least.groupBy("_root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row")), "kept-rows")
+    return c.back(prints.join(kept, "_row", "left_semi"))
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
