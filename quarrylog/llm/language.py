@@ -4,8 +4,8 @@ A text becomes hashed byte n-grams (2 to 4 bytes of its letters, lower-cased, wo
 language has CLUSTERS centroids, by spherical k-means over its training vectors. A text takes the language of the centroid
 with the greatest cosine; if even that is below the language's rejection distance, the text is marked as rejected.
 
-Training reads a bounded sample of labelled documents, at most about PER_LANGUAGE for each language, chosen by a hash
-of doc_id among those outside the held-out fold; counts per language come from all labels. Vectors are made on the executors; the driver
+Training reads a bounded sample of labelled documents: for each language the PER_LANGUAGE distinct ones (doc_id and text) with the least
+hashes among those outside the held-out fold, or all if fewer; counts per language come from all labels. Vectors are made on the executors; the driver
 gets the sample's vectors (PER_LANGUAGE x languages x DIMS floats), never texts. Prediction is a map over whole texts.
 
 Nulls: a text that is null or has no letter is `und`, score 0, and rejected. With no labels at all every text is `und`. A null
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylog.llm.common import Carried, session, texts
@@ -122,9 +122,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = FOLDS)
     n = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
     if not n:
         return Centroids([], np.zeros((0, DIMS)))
-    rate = F.create_map(*(x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))))
-    chance = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = labelled.where(chance < rate[F.col("lang")]).where(F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    # a hash bound that twice as many distinct documents pass as are wanted; copies pass together and are one
+    rate = F.create_map(*(x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, 2 * per_language / v)))))
+    mark = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 2)
+    some = labelled.where(F.col("text").isNotNull()).withColumn("mark", mark).where(F.col("mark") < rate[F.col("lang")] * F.lit(float(1 << 62)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))
+    sample = some.dropDuplicates(["lang", "mark"]).withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
