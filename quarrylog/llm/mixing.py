@@ -2,14 +2,15 @@
 
 Tokens (words) are summed per source, each source's target gives a repetition rate, and a document is emitted
 floor(rate) times plus one copy drawn by a Bernoulli trial whose probability is the rate's fraction. The draw is a hash
-of seed and doc_id, so reruns agree and a lost executor's rows come back the same.
+of seed and doc_id, so reruns agree and a lost executor's rows come back the same. Where rows share a doc_id, or have none, a hash of the text and
+the row's place in the table are hashed, too, so that each row has a draw of its own.
 
 Only (source, size) sums are shuffled, partially summed before the shuffle, so a source with a third of all rows
 costs one row per task. The rates (a row per source) are written to the shared folder and joined; the planner
 broadcasts them only below its own size threshold, else the join is sort-merge, where AQE splits a hot source.
 
-Nulls: a null text has size 0; null is a source of its own, ordered last; a null doc_id draws as the empty string.
-Repeated rows with one doc_id share one draw. Empty tables give empty results. Other columns pass through; columns
+Nulls: a null text has size 0; null is a source of its own, ordered last; null doc_ids count as one id.
+Repeated rows are drawn one by one. Empty tables give empty results. Other columns pass through; columns
 named like an added one are replaced.
 """
 
@@ -54,19 +55,22 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("source", "source_size", F.when(F.col("_capped"), F.lit(cap) * F.col("source_size")).otherwise(F.col("w") * level_free["_level"]).cast("double").alias("target"))
 
 
-def draw(seed: int, doc_id: str = "doc_id") -> F.Column:
-    """A number in [0, 1) from seed and doc_id."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+def draw(seed: int, *keys: F.Column) -> F.Column:
+    """A number in [0, 1) from seed and keys."""
+    key = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(k.cast("string"), F.lit("")) for k in keys))
     return F.conv(F.substring(F.md5(key), 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
 def _repeated(c: Carried, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
     session(c.rows)
-    sized = sizes(c.rows, c["text"])
+    doc_id, text = F.col(c["doc_id"]), F.col(c["text"])
+    sized = sizes(c.rows, c["text"]).withColumn("_place", F.monotonically_increasing_id())
     rates = written(targets(sized.select(F.col(c["source"]).alias("source"), "size"), weights, share, cap), "mix-rates")
-    joined = sized.join(rates, F.col(c["source"]).eqNullSafe(F.col("source")))
+    shared = written(c.rows.groupBy(doc_id.alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id", F.lit(True).alias("_shared")), "shared-ids")
+    joined = sized.join(rates, F.col(c["source"]).eqNullSafe(F.col("source"))).join(shared, doc_id.eqNullSafe(F.col("_id")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw(seed, c["doc_id"]) < rate - F.floor(rate), 1).otherwise(0)
+    drawn = F.when(F.col("_shared").isNull(), draw(seed, doc_id)).otherwise(draw(seed, doc_id, F.xxhash64(text), F.col("_place")))
+    copies = F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)
     return joined.select(*c.own, "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
