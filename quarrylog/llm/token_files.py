@@ -13,10 +13,10 @@ Documents are range-partitioned by doc_id; each partition writes one file in the
 the manifest (a row a file) names the files of the attempts that counted. A lost executor's partition is written again under a
 new name. Global starts are a running sum over the manifest, a row a file.
 
-Encoding: a word between ASCII white space is encoded alone, which is exact as the tokenizer drops white space before it splits;
-each worker keeps the ids of the words it has met, bounded by WORDS. Texts are read whole, in Arrow batches bounded by bytes.
+Encoding: a word between ASCII white space is encoded alone, which is exact for tokenizers that drop white space before they split
+(splits_words tells; texts are encoded whole by others); each worker keeps the ids of the words it has met, bounded by WORDS. Texts are read whole, in Arrow batches bounded by bytes.
 
-Nulls: a null text has the end id alone; null doc_ids come first. Equal doc_ids are ordered by text. Empty tables write
+Nulls: a null text has the end id alone; null doc_ids come first. Equal doc_ids are ordered by a hash of the text, repeated rows by their place. Empty tables write
 nothing and give no rows. Columns other than doc_id and text are left out.
 """
 
@@ -115,15 +115,26 @@ def read_record(uri: str, offset: int) -> tuple[int | None, np.ndarray]:
 # --- encoding ---------------------------------------------------------------------------------------------------------------
 
 
+def splits_words(ids) -> bool:
+    """If a tokenizer, by its ids of some probes, drops white space and ASCII case before it splits, and parts sentence marks from what they follow."""
+    words = ("Word", "x9", "ÜBER", "it's", "a-b", "7", "naïve_", "東京", "(so)", "e\u0301")
+    marks = (".", ",", "...", ",,.")
+    apart = all(ids(f"{a}{gap}{b}") == ids(a.lower() if a.isascii() else a) + ids(b) for a in words for b in words for gap in (" ", "\t \r\n", "\x0b\x0c  "))
+    return apart and all(ids(w + m) == ids(w) + ids(m) for w in words if w[-1].isalnum() for m in marks) and ids(" a ") == ids("a") and ids("") == []
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose pieces hold no white space, by way of the distinct words."""
+    """Ids of whole texts: by way of the distinct words if the tokenizer splits words so that this is exact, else of each text."""
 
     def __init__(self, tokenizer_file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.by_words = splits_words(lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids)
         self._forget()
 
     def _forget(self) -> None:
@@ -173,6 +184,10 @@ class WordEncoder:
         return self.flat[np.repeat(self.start[numbers] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def encode_all(self, some: list[str]) -> Iterator[np.ndarray]:
+        if not self.by_words:
+            for t in some:
+                yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+            return
         if len(self.at) > WORDS:
             self._forget()
         find = self.at.__getitem__
@@ -235,8 +250,10 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, path: str
             index.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([uri]), pa.array([rows], pa.int64()), pa.array([tokens], pa.int64())], ["part", "uri", "n_records", "n_tokens"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(docs, per=16 << 20), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # a row's place parts repeated rows, of which there may be more than one file should hold
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("_place"))
+    placed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_place"))
+    rows = placed.repartitionByRange(partitions(docs, per=16 << 20), *order).sortWithinPartitions(*order).drop("_place")
     manifest = written(rows.mapInArrow(run, "part long, uri string, n_records long, n_tokens long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
