@@ -211,7 +211,7 @@ def encoded(docs: DataFrame, file: str) -> DataFrame:
     """A row for each block: doc_ids, n_words, codes (positions of each document's words), encoded (ids of the block's distinct words)."""
     spark = session(docs)
     buckets = partitions(docs, per=4 << 20, least=48)
-    n = int(min(max(16, plan_bytes(docs) // BLOCK + 1), 10_000))
+    n = int(min(max(16, plan_bytes(docs) // BLOCK + 1), 100_000))  # as many buckets as Spark allows
     name = f"bpe_blocks_{uuid.uuid4().hex}"
     blocks(docs, file, buckets).write.option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
     table = spark.table(name)

@@ -27,8 +27,10 @@ def _own_folder() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset (tests on one machine)."""
+    """spark.checkpoint.dir; a temporary folder only where that is unset and all tasks run on this machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir isn't set: the operators need a folder that driver and executors share")
     return (at or _own_folder()).rstrip("/")
 
 
