@@ -472,3 +472,113 @@ def test_pii_reading_again_ends():
     text = " ".join(pii._positive(rng, int(k), 12) for k in rng.integers(0, 4, 800))
     (found, every), = pii.find(pii.trained(), [text])
     assert set(found) <= set(every)
+
+
+# --- repeated rows and ids -------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_encoder_equals_the_tokenizer(file, texts):
+    coder = token_files.WordEncoder(P.path(file))
+    assert coder.by_words == (file == "word_bpe_49k.json")
+    some = [t or "" for _, t, _ in texts][:60] + ["Hello  World, it's 東京. é \n\tEnd...", " a ", "<|startoftext|> B"]
+    some = [t for t in some if len(t) < 20_000]
+    assert [x.tolist() for x in coder.encode_all(some)] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_mixing_draws_repeated_ids_one_by_one(spark):
+    """A third of all rows share an id and a text, a third have no id: what is taken of each source is near its target."""
+    rows = [(1, "same words here", "a")] * 2000 + [(None, f"text number {k}", "b") for k in range(2000)] + [(10 + k, "some other text", "c") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).cache()
+    found = mixing.repetitions(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.sum("size").alias("size")).collect()
+    for r in found:
+        assert abs(r["taken"] - r["target"]) < 0.1 * r["size"]
+    assert sorted(mixing.mix(docs).collect(), key=str) == sorted(mixing.mix(docs).collect(), key=str)
+
+
+def test_mixing_of_empty_texts(spark):
+    docs = spark.createDataFrame([(k, t, s) for k, (t, s) in enumerate([("", "a"), (None, "a"), (" \t", None)])], "doc_id long, text string, source string")
+    assert {(r["doc_id"], r["size"], r["target"], r["copies"]) for r in mixing.repetitions(docs).collect()} == {(0, 0, 0.0, 0), (1, 0, 0.0, 0), (2, 0, 0.0, 0)}
+    assert mixing.mix(docs).count() == 0
+
+
+def test_language_sample_is_bounded(spark):
+    """Two ids hold a third of all rows each, one of them with one text: the sample is of distinct documents, and bounded."""
+    a, b = [k for k in range(9) if zlib.crc32(str(k).encode()) % 5][:2]
+    rows = [(a, "the cat sat on the mat", "en")] * 400 + [(b, f"un chat numero {k} dort", "fr") for k in range(400)] + [(10 + k, f"der hund {k} bellt laut", "de") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    taken = []
+    plain = language.Centroids.__init__
+
+    def init(self, labels, found, *rest):
+        taken.append(Counter(labels))
+        plain(self, labels, found, *rest)
+
+    try:
+        language.Centroids.__init__ = init
+        model = language.train(docs, per_language=30)
+    finally:
+        language.Centroids.__init__ = plain
+    assert taken[0]["fr"] == 30 and 20 <= taken[0]["de"] <= 30 and taken[0].get("en", 1) == 1
+    assert [model.predict(t)[0] for t in ("der hund bellt", "le chat dort")] == ["de", "fr"]
+
+
+def test_language_equals_a_plain_computation(spark):
+    rng = np.random.default_rng(1)
+    vocabulary = {"x": ["der", "hund", "bellt", "laut", "und"], "y": ["the", "cat", "sat", "on", "mat"]}
+    rows = [(k, " ".join(rng.choice(vocabulary[lang], 30)), lang) for k in range(120) for lang in [("x", "y")[k % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    learned = [(t, lang) for k, t, lang in rows if zlib.crc32(str(k).encode()) % 5]
+
+    def grams(text):
+        letters = bytes(c if c >= 128 or chr(c).isalpha() else 0 for c in text.lower().encode())
+        joined = b"\0" + re.sub(rb"\0+", b"\0", letters.strip(b"\0")) + b"\0"
+        out = Counter()
+        for n in (2, 3, 4):
+            for at in range(len(joined) - n + 1):
+                value = 0
+                for byte in joined[at : at + n]:
+                    value = (value * 257 + byte) % 2**32
+                value = (value * 2654435761 + n) % 2**32
+                out[((value ^ value >> 15) * 2246822519 % 2**32) >> 20] += 1
+        return out
+
+    found = [(grams(t), lang) for t, lang in learned]
+    idf = {d: np.log((1 + len(found)) / (1 + sum(d in g for g, _ in found))) + 1 for d in range(language.DIMS)}
+    assert model.idf == pytest.approx([idf[d] for d in range(language.DIMS)])
+
+    def unit(g):
+        v = np.array([np.log1p(g.get(d, 0)) * idf[d] for d in range(language.DIMS)])
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    # each centroid is the direction of the mean of the vectors of its language that are nearest to it
+    vectors = [(unit(g), lang) for g, lang in found]
+    centers = [(c, model.languages[k]) for c, k in zip(model.centroids, model.of, strict=True)]
+    for n, (c, lang) in enumerate(centers):
+        mine = [m for m, (_, x) in enumerate(centers) if x == lang]
+        near = [v for v, x in vectors if x == lang and mine[int(np.argmax([v @ centers[m][0] for m in mine]))] == n]
+        assert near and c == pytest.approx(np.sum(near, 0) / np.linalg.norm(np.sum(near, 0)), abs=1e-5)
+    for text in ("the cat und der", "hund", "sat on the mat laut", "q", "1 2", ""):
+        cosines = [unit(grams(text)) @ c for c, _ in centers]
+        best = int(np.argmax(cosines))
+        lang, score, rejected = model.predict(text)
+        if not any(map(str.isalpha, text)):
+            assert (lang, score, rejected) == ("und", 0.0, True)
+            continue
+        eased = min(1.0, (max(1, sum(grams(text).values())) / language.ENOUGH) ** 0.5)
+        assert lang == centers[best][1] and score == pytest.approx(max(0, cosines[best]), abs=1e-5) and rejected == (cosines[best] < model.least[best] * eased)
+
+
+def test_sharding_equals_a_plain_computation(docs, spark):
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 40
+    keys = [r["key"] for r in docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")).distinct().collect()]
+    weights = [1.0, 2.5, 0.5, 1.0]
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    hashes = df.select("key", F.array(*(F.xxhash64(F.lit(11), F.col("key"), F.lit(k)) for k in range(5))).alias("h"), sharding.shard_of(F.col("key"), weights).alias("shard"), sharding.shard_of(F.col("key"), [*weights, 1.0]).alias("grown"))
+    for r in hashes.collect():
+        scores = [-((Decimal((h % 2**64) >> 11) + Decimal("0.5")) / Decimal(2**53)).ln() / Decimal(w) for h, w in zip(r["h"], [*weights, 1.0], strict=True)]
+        assert r["shard"] == min(range(4), key=scores.__getitem__)
+        assert r["grown"] == min(range(5), key=scores.__getitem__) and r["grown"] in (r["shard"], 4)
