@@ -7,6 +7,8 @@ share (tokens, the parsed record) is a column of its own first, so that it is co
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,62 +53,149 @@ def _event(message: Column, level: Column, timestamp: Column, source: Column, fi
 # --- text ----------------------------------------------------------------------------------------------------------------
 
 
+_UNQUOTED = r"""[^\s'"]|"[^"]*+"|'[^']*+'"""
+_BALANCED = r"""^(?:[^'"]++|"[^"]*+"|'[^']*+')*+$"""
+_EDGES = r"""[\[\],'"]+"""
+
+
 def with_text(lines: DataFrame, name: str) -> DataFrame:
-    """Lines of printable ASCII without quotes or backslashes, whose leading time, if any, is canonical and which have no time keys."""
-    plain = F.col("raw").rlike(r"^[\t\r\n\x20-\x7e]*$") & ~F.col("raw").rlike(r"""['"\\]""")
+    """Lines of printable ASCII without backslashes, whose leading time, if any, and whose time keys are canonical."""
+    plain = F.col("raw").rlike(r"^[\t\r\n\x20-\x7e&&[^\\]]*$")
     line = F.when(plain, F.regexp_replace("raw", r"[\r\n]+$", ""))
     split = lambda c: F.filter(F.split(c, r"[ \t\r\n]+"), lambda t: t != "")
-    staged = lines.withColumn("_line", line).withColumns({"_tokens": split(F.col("_line")), "_words": split(F.translate("_line", "[]:", "   "))})
+    staged = lines.withColumn("_line", line).withColumns({"_plain": split(F.col("_line")), "_words": split(F.translate("_line", "[]:", "   "))})
+    # quotes that aren't closed are characters like others
+    quoted = F.col("_line").rlike(r"""['"]""") & F.col("_line").rlike(_BALANCED)
+    unquoted = F.transform(F.regexp_extract_all("_line", F.lit(f"(?:{_UNQUOTED})+"), F.lit(0)), lambda t: F.regexp_replace(t, r"""["]([^"]*+)["]|[']([^']*+)[']""", "$1$2"))
+    staged = staged.withColumn("_tokens", F.when(quoted, unquoted).otherwise(F.col("_plain")))
     tokens, words = F.col("_tokens"), F.col("_words")
     bare = lambda t: F.regexp_replace(t, r"^[\[\]]+|[\[\]]+$", "")
-    staged = staged.withColumns({"_1": bare(F.get(tokens, F.lit(0))), "_2": bare(F.get(tokens, F.lit(1)))})
+    staged = staged.withColumns({"_1": bare(F.get("_plain", F.lit(0))), "_2": bare(F.get("_plain", F.lit(1)))})
     first, second = F.col("_1"), F.col("_2")
     two = first.rlike(f"^{_DATE}$") & second.rlike(f"^{_TIME}(?:{_OFFSET})?$")
     staged = staged.withColumn("_time", F.when(two, F.concat(first, F.lit("T"), second)).when(first.rlike(_MOMENT), first))
-    key = lambda t: F.substring_index(t, "=", 1)
+    trim = lambda c: F.btrim(c, F.lit(" \t\r\n"))
+    key = lambda t: trim(F.substring_index(t, "=", 1))
     after = lambda t: F.substring(t, F.instr(t, "=") + 1, F.length(t))
-    value = lambda t: F.regexp_replace(after(t), r"^[\[\],]+|[\[\],]+$", "")
+    value = lambda t: F.regexp_replace(after(t), f"^{_EDGES}|{_EDGES}$", "")
     keyed = lambda t, keys: t.contains("=") & F.lower(key(t)).isin(*keys)
-    named = lambda t: F.try_element_at(level_names(), F.upper(F.when(keyed(t, L.TEXT_LEVEL_KEYS), value(t)).otherwise(t)))
+    named = lambda t: F.try_element_at(level_names(), F.upper(F.when(keyed(t, L.TEXT_LEVEL_KEYS), trim(value(t))).otherwise(t)))
     level = F.coalesce(F.get(F.filter(F.transform(words, named), lambda x: x.isNotNull()), F.lit(0)), F.lit(L.UNKNOWN))
-    sources = F.filter(F.transform(F.filter(tokens, lambda t: keyed(t, L.SOURCE_KEYS)), value), lambda v: v != "")
+    sources = F.filter(F.transform(F.filter(tokens, lambda t: keyed(t, L.SOURCE_KEYS)), lambda t: trim(value(t))), lambda v: v != "")
+    staged = staged.withColumn("_times", F.transform(F.filter(tokens, lambda t: keyed(t, L.TEXT_TIME_KEYS)), value))
     staged = staged.withColumn("_pairs", F.filter(tokens, lambda t: t.contains("=") & (key(t) != "") & ~F.lower(key(t)).isin(*L.TEXT_RESERVED_KEYS)))
     keys = F.transform("_pairs", key)
     chosen = F.filter("_pairs", lambda t, k: F.array_position(keys, key(t)) == k + 1)
-    fields = F.map_from_entries(F.transform(chosen, lambda t: F.struct(key(t), F.concat(F.lit('"'), after(t), F.lit('"')))))
+
+    def encoded(t: Column) -> Column:
+        for c, escape in (('"', r"\""), ("\t", r"\t"), ("\r", r"\r"), ("\n", r"\n")):
+            t = F.replace(t, F.lit(c), F.lit(escape))
+        return F.concat(F.lit('"'), t, F.lit('"'))
+
+    fields = F.map_from_entries(F.transform(chosen, lambda t: F.struct(key(t), encoded(after(t)))))
     known = F.col("_time").isNotNull() | F.coalesce(first.rlike(r"^[^0-9]"), F.lit(True)) | (first == "")
-    timed = F.exists(tokens, lambda t: keyed(t, L.TEXT_TIME_KEYS))
+    timed = F.forall("_times", lambda v: v.rlike(_MOMENT))
     staged = staged.withColumn("_at", moment(F.col("_time")))
-    good = F.col("_line").isNotNull() & known & ~timed & (F.col("_at").isNotNull() | ~two | two.isNull())
-    event = _event(F.col("_line"), level, F.col("_at"), F.coalesce(F.get(sources, F.lit(0)), F.col("provenance")), fields)
-    return staged.withColumn(name, F.when(good, event)).drop("_line", "_tokens", "_words", "_1", "_2", "_time", "_pairs", "_at")
+    at = F.coalesce("_at", F.get(F.filter(F.transform("_times", moment), lambda t: t.isNotNull()), F.lit(0)))
+    good = F.col("_line").isNotNull() & known & timed & (F.col("_at").isNotNull() | ~two | two.isNull())
+    event = _event(F.col("_line"), level, at, F.coalesce(F.get(sources, F.lit(0)), F.col("provenance")), fields)
+    return staged.withColumn(name, F.when(good, event)).drop("_line", "_plain", "_tokens", "_words", "_1", "_2", "_time", "_times", "_pairs", "_at")
 
 
 # --- JSON ----------------------------------------------------------------------------------------------------------------
 
-_SPECIAL = ("severityNumber", "PRIORITY", "timeUnixNano", *L.OBSERVED_KEYS, "observedTimeUnixNano", "__REALTIME_TIMESTAMP", "service.name", *L.JOURNAL_SOURCE_KEYS)
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+#: Numbers that Python writes otherwise than they stand in the line: exponents, many digits, zeros at the end, very small ones, minus zero.
+_ODD_NUMBER = r"[0-9][eE]|[0-9]{19}|(?=[0-9.]{17})[0-9]+\.|\.[0-9]*0(?![0-9])|(?<![0-9])0\.0000|-0(?![.0-9])"
+#: Fractions within nested values that Java writes with an exponent.
+_ODD_NESTED = r"(?<![0-9])0\.00|[0-9]{7}\."
+_WHOLE = "^(0|[1-9][0-9]{0,17})$"
+#: What follows a record in an array, to tell that nothing else does.
+_END = "<end of record>"
+
+
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def _string(value: Column) -> Column:
+    """A variant's text if it is a string, else null."""
+    return F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _whole(value: Column) -> Column:
+    """A whole number, or one spelled plainly in a string, else null."""
+    return F.when(_kind(value) == "BIGINT", F.try_variant_get(value, "$", "long")).otherwise(F.when(_string(value).rlike(_WHOLE), _string(value).try_cast("long")))
+
+
+def _spaced(json: Column) -> Column:
+    """A JSON text with a space after each comma and colon outside strings, and no other white space there."""
+    bare = F.regexp_replace(json, rf"({_STRING})|[ \t\r\n]+", "$1")
+    wide = F.regexp_replace(bare, rf"({_STRING}[,:]?)|(,)", "$1$2 ")
+    return F.regexp_replace(wide, rf"({_STRING}) (?=[\]}}]|$)|({_STRING}[,:] )", "$1$2")
 
 
 def with_json(lines: DataFrame, name: str) -> DataFrame:
-    """Flat objects in ASCII without backslashes, with text for message, level, time and source, and plainly written numbers."""
+    """Objects in printable ASCII without escapes but for quotes, backslashes and ends of lines, with plainly written numbers; texts, or an
+    AnyValue of one text, for the message, texts for level and time, whole numbers for numbered levels and moments."""
     raw = F.col("raw")
-    flat = raw.rlike(r"^[ \t\r\n]*\{[\x20-\x7e\t&&[^{}\[\]\\]]*\}[ \t\r\n]*$")
-    odd = raw.rlike(r"[0-9][eE]|[0-9]{16}|\.[0-9]*0(?![0-9])|-0(?![.0-9])")
-    staged = lines.withColumn("_record", F.try_variant_get(F.try_parse_json(F.when(flat & ~odd, raw)), "$", "map<string,variant>"))
+    plain = raw.rlike(r'^[ \t\r\n]*\{(?:[\x20-\x7e\t&&[^\\]]|\\["\\nrt])*+[ \t\r\n]*$')
+    numbers = F.regexp_replace(raw, _STRING, "")
+    plain = plain & ~raw.contains(_END) & ~numbers.rlike(_ODD_NUMBER) & ~(numbers.rlike(_ODD_NESTED) & numbers.rlike(r"\{.*[{\[]"))
+    # the parser of variants stops where a value ends, whatever comes then
+    staged = lines.withColumn("_pair", F.try_parse_json(F.when(plain, F.concat(F.lit("["), raw, F.lit(f',"{_END}"]')))))
+    alone = F.try_variant_get("_pair", "$[1]", "string") == _END
+    staged = staged.withColumn("_record", F.when(alone, F.try_variant_get("_pair", "$[0]", "map<string,variant>"))).drop("_pair")
     record = F.col("_record")
-    # among texts, the first key present is the first that isn't null
-    text = lambda v: F.try_variant_get(v, "$", "string")
     value = lambda k: F.try_element_at(record, F.lit(k))
-    first = lambda keys: text(F.coalesce(*map(value, keys)))
-    staged = staged.withColumns({"_time": first(L.TIME_KEYS), "_level": first(L.LEVEL_KEYS)})
-    named = (*L.MESSAGE_KEYS, *L.LEVEL_KEYS, *L.TIME_KEYS, *L.SOURCE_KEYS)
-    other = F.exists(F.map_entries(record), lambda e: e["key"].isin(*_SPECIAL) | (e["key"].isin(*named) & (F.schema_of_variant(e["value"]) != "STRING")))
-    level = F.when(F.col("_level").isNull(), L.UNKNOWN).otherwise(_level(F.trim("_level")))
-    source = F.coalesce(*(F.nullif(F.trim(text(value(k))), F.lit("")) for k in L.SOURCE_KEYS), F.col("provenance"))
-    fields = F.transform_values(F.map_filter(record, lambda k, _: ~k.isin(*L.RESERVED_KEYS)), lambda _, v: F.to_json(v))
-    good = record.isNotNull() & ~other & (F.col("_time").isNull() | F.col("_time").rlike(_MOMENT)) & ~F.coalesce(F.col("_level").contains("\t"), F.lit(False))
-    event = _event(F.coalesce(first(L.MESSAGE_KEYS), F.lit("")), level, moment(F.col("_time")), source, fields)
-    return staged.withColumn(name, F.when(good, event)).drop("_record", "_time", "_level")
+    first = lambda keys: F.coalesce(*map(value, keys))  # noqa: E731  the first key that is there, be it null
+    inside = lambda v, path, kind="variant": F.try_variant_get(v, path, kind)
+    staged = staged.withColumns({"_m": first(L.MESSAGE_KEYS), "_l": first(L.LEVEL_KEYS), "_t": first(L.TIME_KEYS), "_o": first(L.OBSERVED_KEYS)})
+    staged = staged.withColumn("_l", F.coalesce("_l", inside(value("log"), "$.level")))
+
+    wrapped = _kind(F.col("_m")) == "OBJECT<stringValue: STRING>"
+    message = F.when(F.col("_m").isNull(), "").when(wrapped, inside(F.col("_m"), "$.stringValue", "string")).otherwise(_string(F.col("_m")))
+    names = F.array(*map(F.lit, (L.UNKNOWN, *(x for x in L.SEVERITY_NUMBER_LEVELS for _ in range(4)))))
+    numbered = lambda v, names: F.when(v.isNull(), L.UNKNOWN).otherwise(F.when(_whole(v).isNotNull(), F.coalesce(F.get(names, F.least(_whole(v), F.lit(1000)).cast("int")), F.lit(L.UNKNOWN))))
+    by_number = F.when(value("severityNumber").isNotNull(), numbered(value("severityNumber"), names)).otherwise(numbered(value("PRIORITY"), F.array(*map(F.lit, L.PRIORITY_LEVELS))))
+    named = F.when(_string(F.col("_l")).rlike(r"^[\x20-\x7e]*$"), _level(F.trim(_string(F.col("_l")))))
+    level = F.when(F.col("_l").isNull(), by_number).otherwise(named)
+
+    # the parts of a time: its micros, and whether Python has to read it
+    iso = lambda v: (F.unix_micros(moment(_string(v))), v.isNotNull() & ~F.coalesce(_string(v).rlike(_MOMENT), F.lit(False)))
+
+    def unix(v: Column, nanos: bool) -> tuple[Column, Column]:
+        n = _whole(v)
+        if not nanos:
+            return F.when(n >= 0, n), v.isNotNull() & (n.isNull() | (n >= 4_000_000_000_000_000))
+        # Python divides as doubles: halves of microseconds may fall to either side
+        below = n % 1000
+        return F.when(n >= 0, F.call_function("div", n, F.lit(1000)) + F.when(below >= 650, 1).otherwise(0)), v.isNotNull() & (n.isNull() | below.between(351, 649))
+
+    times = [iso(F.col("_t")), unix(value("timeUnixNano"), True), iso(F.col("_o")), unix(value("observedTimeUnixNano"), True), unix(value("__REALTIME_TIMESTAMP"), False)]
+    hard = reduce(lambda a, b: a | b, (x for _, x in times))
+
+    some = lambda v: F.nullif(F.trim(v), F.lit(""))
+    attributes = F.filter(inside(inside(value("resource"), "$.attributes"), "$", "array<variant>"), lambda a: _string(inside(a, "$.key")) == "service.name")
+    attribute = lambda a: F.when(_kind(inside(a, "$.value")).startswith("OBJECT"), inside(a, "$.value.stringValue")).otherwise(inside(a, "$.value"))
+    sources = F.concat(
+        F.array(*(_string(value(k)) for k in (*L.SOURCE_KEYS, "service.name")), _string(inside(value("service"), "$.name"))),
+        F.coalesce(F.transform(attributes, lambda a: _string(attribute(a))), F.array().cast("array<string>")),
+        F.array(*(_string(value(k)) for k in L.JOURNAL_SOURCE_KEYS)),
+    )
+    staged = staged.withColumn("_sources", sources)
+    source = F.coalesce(F.get(F.filter(F.transform("_sources", some), lambda s: s.isNotNull()), F.lit(0)), F.col("provenance"))
+
+    kept = F.map_filter(record, lambda k, _: ~k.isin(*L.RESERVED_KEYS))
+    nested = lambda v: _kind(v).startswith("OBJECT") | _kind(v).startswith("ARRAY")
+    texts = F.when(F.exists(F.map_values(record), nested), F.from_json(raw, "map<string,string>"))
+    staged = staged.withColumns({"_kept": kept, "_texts": texts})
+    fields = F.transform_values("_kept", lambda k, v: F.when(nested(v), _spaced(F.try_element_at("_texts", k))).otherwise(F.to_json(v)))
+    white = F.exists("_sources", lambda s: F.coalesce(s.rlike(r"[\t\r\n]"), F.lit(False)))
+    staged = staged.withColumns({"_message": message, "_level": level})
+    good = record.isNotNull() & F.col("_message").isNotNull() & F.col("_level").isNotNull() & ~hard & ~white
+    event = _event(F.col("_message"), F.col("_level"), F.timestamp_micros(F.coalesce(*(t for t, _ in times))), source, fields)
+    return staged.withColumn(name, F.when(good, event)).drop("_record", "_m", "_l", "_t", "_o", "_sources", "_kept", "_texts", "_message", "_level")
 
 
 # --- RFC 5424 --------------------------------------------------------------------------------------------------------------
