@@ -96,9 +96,9 @@ def concentrated(spark, sf_dir):
     return _flat_health(summary.concentrated_error_sources(log(spark, sf_dir), min_errors=15, min_error_rate=0.2))
 
 
-@query("summarize_sources_rounded", f"WITH {LOG} SELECT source, count(*) AS events, count(*) FILTER (level = 'ERROR') AS error_events FROM l GROUP BY source")
+@query("summarize_sources_rounded", f"WITH {LOG} SELECT source, count(*) AS events, count(*) FILTER (level = 'ERROR') AS error_events, round_even(count(*) FILTER (level = 'ERROR') / count(*), 4) AS error_rate FROM l GROUP BY source")
 def summarize_sources_rounded(spark, sf_dir):
-    return summary.summarize_sources(log(spark, sf_dir)).select("source", "events", "error_events")
+    return summary.summarize_sources(log(spark, sf_dir)).select("source", "events", "error_events", "error_rate")
 
 
 @query(
@@ -153,7 +153,8 @@ def _burst(limit: int, seconds: int, source: str = "source", name: str = "d3") -
   {name}_w AS (SELECT source, t, count(*) OVER w AS n, t - min(t) OVER w AS span FROM {name}_t WHERE level = 'ERROR' WINDOW w AS (PARTITION BY source ORDER BY t RANGE BETWEEN {seconds * 1_000_000} PRECEDING AND CURRENT ROW)),
   {name}_b AS (SELECT source, n, span FROM {name}_w QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, span) = 1),
   {name}_s AS (SELECT source, count(*) AS total FROM {name}_t GROUP BY source),
-  {name} AS (SELECT 'error-burst' AS rule, b.source, n AS count, span, {_score("n", str(limit), "total")} AS score FROM {name}_b b JOIN {name}_s s ON b.source = s.source WHERE n >= {limit})"""
+  {name} AS (SELECT 'error-burst' AS rule, 'Error burst [' || b.source || ']: ' || n || ' events in ' || printf('%g', span / 1000000) || 's (configured window {seconds}s)' AS message,
+    b.source, n AS count, span, {_score("n", str(limit), "total")} AS score FROM {name}_b b JOIN {name}_s s ON b.source = s.source WHERE n >= {limit})"""
 
 
 def _novel() -> str:
@@ -178,7 +179,7 @@ def _burst_rows(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     counts, moments = rules.message_counts(events), rules.error_moments(events)
     spans = rules.bursts(moments, burst_window_seconds=seconds).select("source", "span")
     found = rules.error_bursts(moments, counts, burst_threshold=limit, burst_window_seconds=seconds).withColumnRenamed("_source", "source")
-    return found.join(spans, "source").select("rule", "source", "count", "span", "score", "severity")
+    return found.join(spans, "source").select("rule", "message", "source", "count", "span", "score", "severity")
 
 
 @query("error_burst", f"WITH {LOG}, {_burst(3, 86400)} SELECT *, {_SEVERITY} FROM d3")
@@ -249,20 +250,22 @@ def baseline_diff(spark, sf_dir):
 @query(
     "baseline_findings",
     f"""WITH x AS ({_DIFF}), e AS (SELECT strftime(time_bucket(INTERVAL '1440 minutes', ts::TIMESTAMP, TIMESTAMP '1970-01-01'), '%Y-%m-%dT%H:%M:%S+00:00') AS window_start, count(*) FILTER (event_type = 'error') AS count FROM events WHERE event_id % 2 = 1 GROUP BY 1)
-SELECT CASE WHEN delta IS NULL THEN 'baseline-new-window' ELSE 'baseline-drift' END AS rule, count, score, {_SEVERITY}
+SELECT CASE WHEN delta IS NULL THEN 'baseline-new-window' ELSE 'baseline-drift' END AS rule, count, score, {_SEVERITY},
+  CASE WHEN delta IS NULL THEN 'New window ' || window_start || ' with ' || count || ' error events has no reference baseline'
+    ELSE 'Error-rate drift in window ' || window_start || ': ' || printf('%.1f%%', 100 * reference_error_rate) || ' -> ' || printf('%.1f%%', 100 * current_error_rate) || ' (delta ' || printf('%+.1f%%', 100 * delta) || ', threshold 2%)' END AS message
 FROM (SELECT x.*, e.count, CASE WHEN delta IS NULL THEN 50 ELSE least(100, round_even(50 + 50 * abs(delta), 0))::INTEGER END AS score FROM x JOIN e USING (window_start) WHERE finding)""",
 )
 def baseline_findings(spark, sf_dir):
-    return windows.drift_findings(_deltas(spark, sf_dir)).drop("message")
+    return windows.drift_findings(_deltas(spark, sf_dir))
 
 
 @query(
     "findings_all",
-    f"""WITH {LOG}, {_elevated("10")}, {_repeated(2)}, {_burst(3, 86400)}, a AS (SELECT rule, count, score FROM d1 UNION ALL SELECT rule, count, score FROM d2 UNION ALL SELECT rule, count, score FROM d3)
+    f"""WITH {LOG}, {_elevated("10")}, {_repeated(2)}, {_burst(3, 86400)}, a AS (SELECT rule, message, count, score FROM d1 UNION ALL SELECT rule, message, count, score FROM d2 UNION ALL SELECT rule, message, count, score FROM d3)
 SELECT *, {_SEVERITY} FROM a""",
 )
 def findings_all(spark, sf_dir):
-    return rules.detect_anomalies(log(spark, sf_dir), error_threshold=10, repeat_threshold=2, burst_threshold=3, burst_window_seconds=86400).drop("message")
+    return rules.detect_anomalies(log(spark, sf_dir), error_threshold=10, repeat_threshold=2, burst_threshold=3, burst_window_seconds=86400)
 
 
 # --- fields ------------------------------------------------------------------------------------------------------------------------
@@ -398,12 +401,6 @@ def parse_auto(spark, sf_dir):
     return _rows(_raw(spark, sf_dir, F.when(F.col("id") % 2 == 0, as_json).otherwise(_text())), "auto")
 
 
-@query("text_levels_documents")
-def text_levels_documents(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("raw")).withColumn("provenance", F.lit("documents"))
-    return parse_lines(lines, "text").groupBy("level").agg(F.count("*").alias("lines"))
-
-
 @query("message_counts", f"WITH {LOG} SELECT source, level, message AS key, count(*) AS n, arg_min(message, event_id) AS evidence FROM l GROUP BY source, level, message")
 def message_counts(spark, sf_dir):
     return rules.message_counts(log(spark, sf_dir)).drop("ord")
@@ -421,3 +418,6 @@ def normalize_messages(spark, sf_dir):
     return log(spark, sf_dir).select(
         message.alias("given"), text.rule_message(F.concat(F.lit("  "), message, F.lit("​ "))).alias("rule"), F.upper(text.filter_message(F.concat(message, F.lit("\tx")))).alias("shown")
     ).distinct()
+
+
+from quarrylog.plans import cases  # noqa: E402, F401  registers its queries
