@@ -106,10 +106,10 @@ def with_text(lines: DataFrame, name: str) -> DataFrame:
 
 _STRING = r'"(?:[^"\\]|\\.)*+"'
 #: Numbers that Python writes otherwise than they stand in the line: exponents, many digits, zeros at the end, very small ones, minus zero.
-_ODD_NUMBER = r"[0-9][eE]|[0-9]{19}|(?=[0-9.]{17})[0-9]+\.|\.[0-9]*0(?![0-9])|(?<![0-9])0\.0000|-0(?![.0-9])"
+_ODD_NUMBER = r"[0-9][eE]|[0-9]{31}|(?=[0-9.]{17})[0-9]+\.|\.[0-9]*0(?![0-9])|(?<![0-9])0\.0000|-0(?![.0-9])"
 #: Fractions within nested values that Java writes with an exponent.
 _ODD_NESTED = r"(?<![0-9])0\.00|[0-9]{7}\."
-_WHOLE = "^(0|[1-9][0-9]{0,17})$"
+_WHOLE = "^(0|[1-9][0-9]{0,18})$"
 #: What follows a record in an array, to tell that nothing else does.
 _END = "<end of record>"
 

@@ -6,7 +6,9 @@ scan serves both parsers: a line that the JVM expressions cover reaches the Pyth
 
 from __future__ import annotations
 
+import itertools
 import sys
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,19 +60,34 @@ def _spooled(spark: SparkSession) -> str:
 
 
 def _odd_gzip(spark: SparkSession, path: str) -> DataFrame:
-    """A gzip file whose suffix isn't in lower case, which the text reader takes for plain text. A gzip file has one reader in any case."""
+    """A gzip file whose suffix isn't in lower case, which the text reader takes for plain text. A gzip file has one reader in any case; it
+    unpacks a piece at a time. Where Arrow doesn't know the file system, the file comes as one value, which Spark bounds at 2 GB."""
     import gzip
+    import io
 
-    def run(batches):
+    import pyarrow.fs
+
+    def rows(name: str, file) -> Iterator[pa.RecordBatch]:
+        # universal newlines, as the text reader has them
+        text = io.TextIOWrapper(gzip.GzipFile(fileobj=file), encoding="utf-8", errors="replace", newline=None)
+        while some := [line.removesuffix("\n") for line in itertools.islice(text, 10_000)]:
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([name] * len(some)), pa.array([0] * len(some), pa.int64())], ["raw", "file", "block"])
+
+    def by_path(batches):
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                fs, at = pyarrow.fs.FileSystem.from_uri(name)
+                with fs.open_input_stream(at) as file:
+                    yield from rows(name, file)
+
+    def by_content(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = gzip.decompress(data).decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-                lines = lines[:-1] if lines[-1] == "" else lines
-                for at in range(0, len(lines), 10_000):
-                    some = lines[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([name] * len(some)), pa.array([0] * len(some), pa.int64())], ["raw", "file", "block"])
+                yield from rows(name, io.BytesIO(data))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "raw string, file string, block long")
+    files = spark.read.format("binaryFile").load(path)
+    known = path.partition(":")[0] in ("file", "hdfs", "s3", "gs") or ":" not in path
+    return (files.select("path") if known else files.select("path", "content")).mapInArrow(by_path if known else by_content, "raw string, file string, block long")
 
 
 def _python(format: str):

@@ -24,11 +24,22 @@ from quarrylog.sources.reader import check_format, parse_lines
 FORMAT = "growing_file"
 
 
-def complete_lines(path: str, position: int, end: int | None = None) -> tuple[list[str], int]:
-    """The lines from position to the last newline (before end), and the position after it."""
+#: Bytes that a batch takes from the file, about; what is left comes with the next one.
+BATCH = 32 << 20
+
+
+def complete_lines(path: str, position: int, end: int | None = None, most: int | None = None) -> tuple[list[str], int]:
+    """The lines from position to the last newline (before end, and within `most` bytes, or in the first line), and the position after it."""
     with open(path, "rb") as file:
         file.seek(position)
-        data = file.read() if end is None else file.read(end - position)
+        if end is not None:
+            data = file.read(end - position)
+        elif most is None:
+            data = file.read()
+        else:
+            data = file.read(most)
+            while b"\n" not in data and (more := file.read(most)):
+                data += more
     data = data[: data.rfind(b"\n") + 1]
     return data.decode("utf-8", "replace").splitlines(), position + len(data)
 
@@ -45,7 +56,7 @@ class GrowingFileReader(SimpleDataSourceStreamReader):
             size = os.stat(self.path).st_size
             if size < start["position"]:
                 start = {"generation": start["generation"] + 1, "position": 0}
-            lines, position = complete_lines(self.path, start["position"])
+            lines, position = complete_lines(self.path, start["position"], most=BATCH)
         except OSError:  # the file is away for a while, as when it is rotated
             return iter(()), start
         return iter([(x, start["generation"], start["position"] + k) for k, x in enumerate(lines)]), {**start, "position": position}

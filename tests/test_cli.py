@@ -11,7 +11,7 @@ from quarrylog.plans import policy, sinks
 from quarrylog.streaming.tail import complete_lines
 
 DEMO = [{"timestamp": f"2026-09-15T18:00:{s:02}Z", "level": "INFO", "source": "api", "message": "request completed"} for s in (0, 10)] + [
-    {"timestamp": f"2026-09-15T18:01:{s:02}Z", "level": "ERROR", "source": "api", "message": "database unavailable"} for s in range(0, 25, 5)
+    {"timestamp": f"2026-09-15T18:01:{s:02}Z", "level": "ERROR", "source": "api", "message": "replica unreachable"} for s in range(0, 25, 5)
 ]
 
 
@@ -128,7 +128,7 @@ def test_follow(spark, capsys, tmp_path):
     writer.join()
     scans = [json.loads(x) for x in out.splitlines()]
     assert code == 3 and sorted(f["rule"] for s in scans for f in s["new_findings"]) == ["elevated-errors", "repeated-message"]
-    assert "7 input lines" in err
+    assert "7 lines in" in err
 
 
 def test_follow_budget(spark, capsys, tmp_path):

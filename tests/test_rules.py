@@ -112,14 +112,14 @@ def test_windows_and_diff(spark):
 def test_novelty(spark, tmp_path):
     store = tmp_path / "known.json"
     corpus = novelty.KnownCorpus.load(store)
-    assert corpus.learn(events(spark, {"m": "disk full", "l": "INFO"}, {"m": " disk full ", "l": "info"})) == 1
+    assert corpus.learn(events(spark, {"m": "volume exhausted", "l": "INFO"}, {"m": " volume exhausted ", "l": "info"})) == 1
     corpus.save(store)
     again = novelty.KnownCorpus.load(store)
-    assert again.entries == corpus.entries and (None, "INFO", "disk full") in again
-    assert again.learn(events(spark, {"m": "disk full", "l": "INFO"}, {"m": "other", "s": "api"})) == 1
-    assert again.entries[None, "INFO", "disk full"][0] == 3
-    found = rules.detect_novel_messages(events(spark, {"m": "disk full", "l": "INFO"}, {"m": "cache miss", "l": "WARN"}), corpus.table(spark))
-    assert rows(found) == [("novel-message", "medium", "Novel message: cache miss", 1, 75)]
+    assert again.entries == corpus.entries and (None, "INFO", "volume exhausted") in again
+    assert again.learn(events(spark, {"m": "volume exhausted", "l": "INFO"}, {"m": "other", "s": "api"})) == 1
+    assert again.entries[None, "INFO", "volume exhausted"][0] == 3
+    found = rules.detect_novel_messages(events(spark, {"m": "volume exhausted", "l": "INFO"}, {"m": "queue drained", "l": "WARN"}), corpus.table(spark))
+    assert rows(found) == [("novel-message", "medium", "Novel message: queue drained", 1, 75)]
     for bad in ("[]", "{", '{"version":2}', '{"messages":{}}', '{"messages":[{"level":1,"message":"x"}]}', '{"messages":[{"level":"a","message":"x","count":-1}]}'):
         store.write_text(bad)
         with pytest.raises(novelty.NoveltyError):
