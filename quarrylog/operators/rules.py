@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarrylog.functions import text
 from quarrylog.functions.scoring import THRESHOLDS, ScoringConfig, SourceThresholds, score, severity
+from quarrylog.sources.storage import shared_folder
 
 COLUMNS = ("rule", "severity", "message", "count", "score")
 ORDER = ("_rule", "_source", "_level", "_key")
@@ -74,6 +75,25 @@ def message_counts(events: DataFrame) -> DataFrame:
     return events.groupBy(*keys).agg(F.count("*").alias("n"), first.alias("evidence"), F.min("ord").alias("ord"))
 
 
+def summed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """message_counts and error_moments from one pass over the events and one shuffle, by way of a table in the shared folder."""
+    if "ord" not in events.columns:
+        events = events.withColumn("ord", F.monotonically_increasing_id())
+    keyed = events.select(
+        text.rule_source(F.col("source")).alias("source"), text.level_key(F.col("level")).alias("level"), text.rule_message(F.col("message")).alias("key"),
+        text.stripped(F.col("message")).alias("evidence"), "ord", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t"),
+    )
+    none = lambda name: F.lit(None).cast(keyed.schema[name].dataType).alias(name)
+    message = F.struct(F.lit(0).alias("kind"), "source", "level", "key", none("t"), "evidence", "ord")
+    moment = F.struct(F.lit(1).alias("kind"), "source", none("level"), none("key"), "t", none("evidence"), none("ord"))
+    units = keyed.select(F.explode(F.when(text.is_error(F.col("level")) & F.col("t").isNotNull(), F.array(message, moment)).otherwise(F.array(message))).alias("u")).select("u.*")
+    table = units.groupBy("kind", "source", "level", "key", "t").agg(F.count("*").alias("n"), F.min_by("evidence", "ord").alias("evidence"), F.min("ord").alias("ord"))
+    path = shared_folder(events.sparkSession, "findings")
+    table.write.partitionBy("kind").parquet(path)
+    read = lambda kind, *names: events.sparkSession.read.schema(table.schema).parquet(path).where(F.col("kind") == kind).select(*names)
+    return read(0, "source", "level", "key", "n", "evidence", "ord"), read(1, "source", "t", "n")
+
+
 def source_totals(counts: DataFrame) -> DataFrame:
     errors = F.sum(F.when(text.is_error(F.col("level")), F.col("n")).otherwise(0))
     return counts.groupBy("source").agg(F.sum("n").alias("total"), errors.alias("errors"))
@@ -204,7 +224,7 @@ def all_findings(
     """The findings of all rules (novel messages if there is a corpus), with the columns ORDER."""
     thresholds = {"error_threshold": error_threshold, "repeat_threshold": repeat_threshold, "burst_threshold": burst_threshold, "burst_window_seconds": burst_window_seconds}
     check_thresholds(**thresholds)
-    return findings_of(message_counts(events), error_moments(events), **thresholds, scoring=scoring, source_overrides=source_overrides, known=known)
+    return findings_of(*summed(events), **thresholds, scoring=scoring, source_overrides=source_overrides, known=known)
 
 
 def findings_of(
