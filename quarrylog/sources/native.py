@@ -147,22 +147,27 @@ def with_json(lines: DataFrame, name: str) -> DataFrame:
     alone = F.try_variant_get("_pair", "$[1]", "string") == _END
     staged = staged.withColumn("_record", F.when(alone, F.try_variant_get("_pair", "$[0]", "map<string,variant>"))).drop("_pair")
     record = F.col("_record")
+    staged = staged.withColumn("_kinds", F.transform_values(record, lambda _, v: _kind(v)))
+    kind = lambda k: F.try_element_at("_kinds", k if isinstance(k, Column) else F.lit(k))
+    staged = staged.withColumn("_strings", F.transform_values(F.map_filter(record, lambda k, _: kind(k) == "STRING"), lambda _, v: F.try_variant_get(v, "$", "string")))
     value = lambda k: F.try_element_at(record, F.lit(k))
+    string = lambda k: F.try_element_at("_strings", F.lit(k))
     first = lambda keys: F.coalesce(*map(value, keys))  # noqa: E731  the first key that is there, be it null
     inside = lambda v, path, kind="variant": F.try_variant_get(v, path, kind)
     staged = staged.withColumns({"_m": first(L.MESSAGE_KEYS), "_l": first(L.LEVEL_KEYS), "_t": first(L.TIME_KEYS), "_o": first(L.OBSERVED_KEYS)})
     staged = staged.withColumn("_l", F.coalesce("_l", inside(value("log"), "$.level")))
+    staged = staged.withColumns({f"{c}_s": _string(F.col(c)) for c in ("_m", "_l", "_t", "_o")})
 
     wrapped = _kind(F.col("_m")) == "OBJECT<stringValue: STRING>"
-    message = F.when(F.col("_m").isNull(), "").when(wrapped, inside(F.col("_m"), "$.stringValue", "string")).otherwise(_string(F.col("_m")))
+    message = F.when(F.col("_m").isNull(), "").when(F.col("_m_s").isNotNull(), F.col("_m_s")).when(wrapped, inside(F.col("_m"), "$.stringValue", "string"))
     names = F.array(*map(F.lit, (L.UNKNOWN, *(x for x in L.SEVERITY_NUMBER_LEVELS for _ in range(4)))))
     numbered = lambda v, names: F.when(v.isNull(), L.UNKNOWN).otherwise(F.when(_whole(v).isNotNull(), F.coalesce(F.get(names, F.least(_whole(v), F.lit(1000)).cast("int")), F.lit(L.UNKNOWN))))
     by_number = F.when(value("severityNumber").isNotNull(), numbered(value("severityNumber"), names)).otherwise(numbered(value("PRIORITY"), F.array(*map(F.lit, L.PRIORITY_LEVELS))))
-    named = F.when(_string(F.col("_l")).rlike(r"^[\x20-\x7e]*$"), _level(F.trim(_string(F.col("_l")))))
+    named = F.when(F.col("_l_s").rlike(r"^[\x20-\x7e]*$"), _level(F.trim("_l_s")))
     level = F.when(F.col("_l").isNull(), by_number).otherwise(named)
 
     # the parts of a time: its micros, and whether Python has to read it
-    iso = lambda v: (F.unix_micros(moment(_string(v))), v.isNotNull() & ~F.coalesce(_string(v).rlike(_MOMENT), F.lit(False)))
+    iso = lambda c: (F.unix_micros(moment(F.col(f"{c}_s"))), F.col(c).isNotNull() & ~F.coalesce(F.col(f"{c}_s").rlike(_MOMENT), F.lit(False)))
 
     def unix(v: Column, nanos: bool) -> tuple[Column, Column]:
         n = _whole(v)
@@ -172,30 +177,30 @@ def with_json(lines: DataFrame, name: str) -> DataFrame:
         below = n % 1000
         return F.when(n >= 0, F.call_function("div", n, F.lit(1000)) + F.when(below >= 650, 1).otherwise(0)), v.isNotNull() & (n.isNull() | below.between(351, 649))
 
-    times = [iso(F.col("_t")), unix(value("timeUnixNano"), True), iso(F.col("_o")), unix(value("observedTimeUnixNano"), True), unix(value("__REALTIME_TIMESTAMP"), False)]
+    times = [iso("_t"), unix(value("timeUnixNano"), True), iso("_o"), unix(value("observedTimeUnixNano"), True), unix(value("__REALTIME_TIMESTAMP"), False)]
     hard = reduce(lambda a, b: a | b, (x for _, x in times))
 
     some = lambda v: F.nullif(F.trim(v), F.lit(""))
     attributes = F.filter(inside(inside(value("resource"), "$.attributes"), "$", "array<variant>"), lambda a: _string(inside(a, "$.key")) == "service.name")
     attribute = lambda a: F.when(_kind(inside(a, "$.value")).startswith("OBJECT"), inside(a, "$.value.stringValue")).otherwise(inside(a, "$.value"))
     sources = F.concat(
-        F.array(*(_string(value(k)) for k in (*L.SOURCE_KEYS, "service.name")), _string(inside(value("service"), "$.name"))),
+        F.array(*(string(k) for k in (*L.SOURCE_KEYS, "service.name")), _string(inside(value("service"), "$.name"))),
         F.coalesce(F.transform(attributes, lambda a: _string(attribute(a))), F.array().cast("array<string>")),
-        F.array(*(_string(value(k)) for k in L.JOURNAL_SOURCE_KEYS)),
+        F.array(*map(string, L.JOURNAL_SOURCE_KEYS)),
     )
     staged = staged.withColumn("_sources", sources)
     source = F.coalesce(F.get(F.filter(F.transform("_sources", some), lambda s: s.isNotNull()), F.lit(0)), F.col("provenance"))
 
     kept = F.map_filter(record, lambda k, _: ~k.isin(*L.RESERVED_KEYS))
-    nested = lambda v: _kind(v).startswith("OBJECT") | _kind(v).startswith("ARRAY")
-    texts = F.when(F.exists(F.map_values(record), nested), F.from_json(raw, "map<string,string>"))
-    staged = staged.withColumns({"_kept": kept, "_texts": texts})
-    fields = F.transform_values("_kept", lambda k, v: F.when(nested(v), _spaced(F.try_element_at("_texts", k))).otherwise(F.to_json(v)))
+    nested = lambda kind: kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    texts = F.when(F.exists(F.map_keys("_kept"), lambda k: nested(kind(k))), F.from_json(raw, "map<string,string>"))
+    staged = staged.withColumn("_kept", kept).withColumn("_texts", texts)
+    fields = F.transform_values("_kept", lambda k, v: F.when(nested(kind(k)), _spaced(F.try_element_at("_texts", k))).otherwise(F.to_json(v)))
     white = F.exists("_sources", lambda s: F.coalesce(s.rlike(r"[\t\r\n]"), F.lit(False)))
     staged = staged.withColumns({"_message": message, "_level": level})
     good = record.isNotNull() & F.col("_message").isNotNull() & F.col("_level").isNotNull() & ~hard & ~white
     event = _event(F.col("_message"), F.col("_level"), F.timestamp_micros(F.coalesce(*(t for t, _ in times))), source, fields)
-    return staged.withColumn(name, F.when(good, event)).drop("_record", "_m", "_l", "_t", "_o", "_sources", "_kept", "_texts", "_message", "_level")
+    return staged.withColumn(name, F.when(good, event)).drop("_record", "_kinds", "_strings", "_m", "_l", "_t", "_o", "_m_s", "_l_s", "_t_s", "_o_s", "_sources", "_kept", "_texts", "_message", "_level")
 
 
 # --- RFC 5424 --------------------------------------------------------------------------------------------------------------
