@@ -294,7 +294,8 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
     first = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("_row").alias("row")))
     least = prints.groupBy("_fp").agg(first.alias("least")).join(roots, "_fp")
     kept = written(least.groupBy("_root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row")), "kept-rows")
-    return c.back(prints.join(kept, "_row", "left_semi"))
+    # no broadcast: row numbers grow with the documents
+    return c.back(prints.join(kept.hint("merge"), "_row", "left_semi"))
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
