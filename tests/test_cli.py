@@ -38,7 +38,7 @@ def test_demo(spark, capsys, demo):
     assert run(capsys, demo, "--fail-on-severity", "low")[0] == 3
     code, out, _ = run(capsys, demo, "--csv", "--level", "error", "--window-minutes", 1)
     assert code == 0 and out.startswith("record_type,name,value,severity,score,message\r\n") and "\r\nsource,api,5," in out
-    code, out, _ = run(capsys, demo, "--contains", "UNAVAILABLE")
+    code, out, _ = run(capsys, demo, "--contains", "UNREACHABLE")
     assert "Input: 7 | Matched: 5 | Parse errors: 0" in out
 
 
