@@ -6,8 +6,12 @@
 4. mix: sources are mixed to their target weights; a document may be taken not at all, once or twice.
 5. tokens: texts become byte-level BPE ids; a row for each document taken: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-Each stage's rows are written to the shared folder as Parquet and read again. Rows: see each operator's docstring for nulls, repeated rows
-and empty tables; columns that documents has beyond its own pass through all stages but the last.
+Each stage's rows are written to the shared folder as Parquet and read again. Columns that documents has beyond its own pass through all stages
+but the last; what the operators add has names that can't clash with them.
+
+Nulls: documents with a null text, or one without letters, are rejected by the first stage; a null doc_id, source or lang is kept, and a null source is a
+source of its own. Empty texts go with the first stage, very long ones are read whole. Of repeated rows one stays (they are near duplicates);
+ties go to the smallest doc_id, then to the row written first. An empty table gives an empty result.
 """
 
 from __future__ import annotations
