@@ -1,23 +1,33 @@
 """The corpus of known messages: reading, merging, writing.
 
 A corpus is a DataFrame (source, level, message, count, first_seen) of normalised keys. The JSON file of the tool is read and written on the
-driver; for corpora beyond that, any table of these columns serves, and merging is a join.
+driver, a record at a time: the keys lie in a temporary database on its disk, so that its memory doesn't grow with them. Merging is a join.
 """
 
 from __future__ import annotations
 
-import json
+import sqlite3
+import weakref
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
+from json.encoder import encode_basestring_ascii as quoted
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylog.functions import text
 from quarrylog.operators.rules import message_counts
+from quarrylog.sources.json_reader import JsonReader
+from quarrylog.sources.storage import shared_folder
 
 VERSION = 1
 SCHEMA = "source string, level string, message string, count long, first_seen string"
+NAMES = ("source", "level", "message", "count", "first_seen")
+_ARROW = pa.schema([(name, pa.int64() if name == "count" else pa.string()) for name in NAMES])
+#: Characters and rows of the entries that go to the cluster at once.
+BATCH, ROWS = 16 << 20, 200_000
 
 
 class NoveltyError(ValueError):
@@ -28,60 +38,142 @@ def corpus_key(source: str | None, level: str, message: str) -> tuple[str | None
     return text.rule_source_text(source), text.level_text(level), text.rule_message_text(message)
 
 
+class _Entries:
+    """Entries in the order of their keys, in a temporary database on disk that goes with the object."""
+
+    def __init__(self, rows: Iterable[tuple] = ()):
+        self.db = sqlite3.connect("", check_same_thread=False)  # a file without a name, in TMPDIR
+        weakref.finalize(self, self.db.close)
+        for setting in ("journal_mode = OFF", "synchronous = OFF", "temp_store = FILE", "cache_size = -16384"):
+            self.db.execute(f"PRAGMA {setting}")
+        # `named` is 0 where there is no source
+        self.db.execute("CREATE TABLE e (source TEXT, level TEXT, message TEXT, named INTEGER, count INTEGER, first_seen TEXT, PRIMARY KEY (source, level, message, named)) WITHOUT ROWID")
+        self.put(rows)
+
+    def put(self, rows: Iterable[tuple]) -> None:
+        """Adds rows of NAMES; the later of equal keys stays."""
+        self.db.executemany("INSERT OR REPLACE INTO e VALUES (?, ?, ?, ?, ?, ?)", ((s or "", level, message, s is not None, n, seen) for s, level, message, n, seen in rows))
+        self.db.commit()
+
+    def clear(self) -> None:
+        self.db.execute("DELETE FROM e")
+        self.db.commit()
+
+    def __len__(self) -> int:
+        return self.db.execute("SELECT count(*) FROM e").fetchone()[0]
+
+    def __contains__(self, key: tuple[str | None, str, str]) -> bool:
+        source, level, message = key
+        found = self.db.execute("SELECT 1 FROM e WHERE source = ? AND level = ? AND message = ? AND named = ?", (source or "", level, message, source is not None))
+        return found.fetchone() is not None
+
+    def __iter__(self) -> Iterator[tuple]:
+        return self.db.execute("SELECT iif(named, source, NULL), level, message, count, first_seen FROM e ORDER BY source, level, message, named")
+
+    def tables(self) -> Iterator[pa.Table]:
+        """All rows, one table at least."""
+        some, size = [], 0
+        table = lambda: pa.table([pa.array(c, f.type) for c, f in zip(zip(*some) if some else [()] * len(NAMES), _ARROW, strict=True)], schema=_ARROW)
+        for row in self:
+            some.append(row)
+            size += len(row[0] or "") + len(row[2])
+            if size >= BATCH or len(some) >= ROWS:
+                yield table()
+                some, size = [], 0
+        yield table()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, b.schema) as out:
+            out.write_batch(b)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["packed"])
+
+
+def _local_rows(table: DataFrame) -> Iterator[tuple]:
+    """The rows of a table, a partition at a time."""
+    for (packed,) in table.mapInArrow(_packed, "packed binary").toLocalIterator():
+        for b in pa.ipc.open_stream(packed):
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
 class KnownCorpus:
     """Known message keys with their counts and when they were first seen."""
 
     def __init__(self, entries: dict[tuple[str | None, str, str], tuple[int, str]] | None = None):
-        self.entries = dict(entries or {})
+        self._entries = _Entries((*k, *v) for k, v in (entries or {}).items())
 
     @classmethod
     def load(cls, path: str | Path) -> KnownCorpus:
         """The corpus in a file; a missing file is an empty corpus."""
+        corpus = cls()
         fail = lambda why: NoveltyError(f"novelty store {path}: {why}")
+        clean = lambda s: s.encode("utf-8", "replace").decode()  # noqa: E731  lone surrogates, as in parsed lines
+
+        def rows(records: Iterator[object]) -> Iterator[tuple]:
+            for r in records:
+                if not isinstance(r, dict):
+                    raise fail("message records must be objects")
+                source, level, message, count = r.get("source"), r.get("level"), r.get("message"), r.get("count", 1)
+                if not isinstance(source, str | None):
+                    raise fail("message records need a string source")
+                if not isinstance(level, str) or not isinstance(message, str):
+                    raise fail("message records need string level and message")
+                if type(count) is not int or not 0 <= count < 1 << 63:
+                    raise fail("message records need a non-negative integer count of 64 bits")
+                yield *corpus_key(clean(source) if source else None, clean(level), clean(message)), count, clean(str(r.get("first_seen", "")))
+
         try:
-            data = json.loads(Path(path).read_text(encoding="utf-8"))
+            with open(path, encoding="utf-8") as file:
+                reader = JsonReader(file)
+                if reader.peek() != "{":
+                    raise fail("must hold a JSON object")
+                for name in reader.members():
+                    if name == "messages":
+                        if reader.peek() != "[":
+                            raise fail("messages must be a list")
+                        corpus._entries.clear()
+                        corpus._entries.put(rows(reader.items()))
+                    elif (value := reader.value()) != VERSION and name == "version":
+                        raise fail(f"unsupported version {value!r}")
+                reader.close()
         except FileNotFoundError:
             return cls()
         except OSError as e:
             raise fail(f"cannot be read: {e}") from e
+        except NoveltyError:
+            raise
         except ValueError as e:
             raise fail(f"invalid JSON: {e}") from e
-        if not isinstance(data, dict):
-            raise fail("must hold a JSON object")
-        if data.get("version", VERSION) != VERSION:
-            raise fail(f"unsupported version {data['version']!r}")
-        records = data.get("messages", [])
-        if not isinstance(records, list):
-            raise fail("messages must be a list")
-        entries = {}
-        for r in records:
-            if not isinstance(r, dict):
-                raise fail("message records must be objects")
-            source, level, message, count = r.get("source"), r.get("level"), r.get("message"), r.get("count", 1)
-            if not isinstance(source, str | None):
-                raise fail("message records need a string source")
-            if not isinstance(level, str) or not isinstance(message, str):
-                raise fail("message records need string level and message")
-            if type(count) is not int or count < 0:
-                raise fail("message records need a non-negative integer count")
-            entries[corpus_key(source or None, level, message)] = (count, str(r.get("first_seen", "")))
-        return cls(entries)
+        return corpus
 
     @classmethod
     def of(cls, table: DataFrame) -> KnownCorpus:
-        return cls({(r["source"], r["level"], r["message"]): (r["count"], r["first_seen"]) for r in table.toLocalIterator()})
+        corpus = cls()
+        corpus._entries.put(_local_rows(table.select(*NAMES).orderBy(*NAMES[:3])))  # in the order of the database
+        return corpus
+
+    @property
+    def entries(self) -> dict[tuple[str | None, str, str], tuple[int, str]]:
+        """All of them as a dictionary, for a corpus that the driver's memory holds."""
+        return {r[:3]: r[3:] for r in self._entries}
 
     def __contains__(self, key: tuple[str | None, str, str]) -> bool:
-        return key in self.entries
+        return key in self._entries
 
     def __len__(self) -> int:
-        return len(self.entries)
+        return len(self._entries)
 
     def keys(self) -> frozenset:
         return frozenset(self.entries)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(*k, *v) for k, v in self.entries.items()], SCHEMA)
+        """The entries as a table in the shared folder."""
+        path = shared_folder(spark, "known-messages")
+        for some in self._entries.tables():
+            spark.createDataFrame(some, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        return spark.read.schema(SCHEMA).parquet(path)
 
     def learn(self, events: DataFrame, *, observed_at: datetime | None = None) -> int:
         """Adds the events' messages; gives the number of new keys."""
@@ -91,17 +183,28 @@ class KnownCorpus:
         """learn for a table of message_counts. The merge is a join on the cluster."""
         before = len(self)
         merged = merge(self.table(counts.sparkSession), counts, observed_at=observed_at)
-        self.entries = KnownCorpus.of(merged.select("source", "level", "message", "count", "first_seen")).entries
+        self._entries = KnownCorpus.of(merged)._entries
         return len(self) - before
 
     def to_dict(self) -> dict:
-        rows = sorted(self.entries.items(), key=lambda kv: (kv[0][0] or "", kv[0][1], kv[0][2]))
-        names = ("source", "level", "message", "count", "first_seen")
-        return {"version": VERSION, "messages": [dict(zip(names, (*k, *v), strict=True)) for k, v in rows]}
+        """What save writes, whole."""
+        return {"version": VERSION, "messages": [dict(zip(NAMES, r, strict=True)) for r in self._entries]}
+
+    def _pieces(self) -> Iterator[str]:
+        """json.dumps(self.to_dict(), indent=2, sort_keys=True), piece by piece."""
+        value = lambda s: "null" if s is None else quoted(s)
+        yield '{\n  "messages": ['
+        comma = ""
+        for source, level, message, count, seen in self._entries:
+            yield f'{comma}\n    {{\n      "count": {count},\n      "first_seen": {value(seen)},\n      "level": {quoted(level)},\n      "message": {quoted(message)},\n      "source": {value(source)}\n    }}'
+            comma = ","
+        yield ("\n  " if comma else "") + f'],\n  "version": {VERSION}\n}}'
 
     def save(self, path: str | Path) -> None:
         try:
-            Path(path).write_text(json.dumps(self.to_dict(), indent=2, sort_keys=True) + "\n", encoding="utf-8")
+            with open(path, "w", encoding="utf-8") as file:
+                file.writelines(self._pieces())
+                file.write("\n")
         except OSError as e:
             raise NoveltyError(f"cannot write novelty store {path}: {e}") from e
 
