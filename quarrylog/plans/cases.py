@@ -10,10 +10,12 @@ import csv
 import gzip
 import io
 import json
+import shutil
 import tempfile
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -599,18 +601,27 @@ def watch_stream(spark, sf_dir):
     """A file that grows while it is watched: what the first half of the lines shows is told once, then what the second half adds."""
     from quarrylog.streaming.tail import Watch, lines_of
 
-    rendered = _raw(spark, sf_dir, _cat("level=", F.lower(_level()), " service=user-", _user(), " ", _message())).select("event_id", "raw").collect()  # a log file of the driver's
+    def joined(batches):
+        for b in batches:
+            lines = "".join(line + "\n" for line in b.column(0).to_pylist() if line is not None)
+            yield pa.RecordBatch.from_arrays([pa.array([lines.encode()], pa.binary())], ["lines"])
+
+    rendered = _raw(spark, sf_dir, _cat("level=", F.lower(_level()), " service=user-", _user(), " ", _message()))
     told: list[dict] = []
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder) / "app.log"
+    with tempfile.TemporaryDirectory() as folder:  # a log file of the driver's
+        path, grown = Path(folder) / "app.log", Path(folder) / "grown"
         path.write_text("")
         watch = Watch(spark, PipelineConfig(format="text", error_threshold=8, repeat_threshold=10**6, burst_threshold=10**6), shared_folder(spark, "watch"), lambda _, fresh: told.extend(fresh))
         stream = lines_of(spark, str(path)).writeStream.foreachBatch(watch.batch).option("checkpointLocation", f"{watch.state}/checkpoint").start()
         try:
             for half in (0, 1):
-                with path.open("a") as file:
-                    file.writelines(r["raw"] + "\n" for r in rendered if r["event_id"] % 2 == half)
-                    file.write("a line without its end")
+                # the file grows by a half at once, as a scan takes what is there when it begins
+                shutil.copyfile(path, grown)
+                with grown.open("ab") as file:
+                    for (lines,) in rendered.where(F.col("event_id") % 2 == half).select("raw").mapInArrow(joined, "lines binary").toLocalIterator():
+                        file.write(lines)
+                    file.write(b"a line without its end")
+                grown.replace(path)
                 stream.processAllAvailable()
                 with path.open("r+") as file:
                     file.truncate(path.stat().st_size - len("a line without its end"))

@@ -1,7 +1,9 @@
 """A growing file as a stream, and rules over all that it has held.
 
-The source reads complete lines only. Its offset is {generation, position}: the position is that of the byte after the last newline, so a
-batch can be read again; a file that became shorter starts a new generation at 0, while what was counted stays counted.
+The source reads complete lines only. Its offset is {generation, position, end}: the position is that of the byte after the last newline, so a
+batch can be read again; a file that became shorter starts a new generation at 0, while what was counted stays counted. A scan takes all complete
+lines that the file has when it begins, up to `end`, in as many batches as they need; rules are told once, at its end, so that what
+is found doesn't depend on how the batches cut it.
 
 Each batch is parsed, and merged into two tables of state: message counts, and errors per moment. Rules read those, never old lines. A
 version of the state is written for each batch, and named by it, so that a batch that is run again replaces its own version.
@@ -10,6 +12,7 @@ version of the state is written for each batch, and named by it, so that a batch
 from __future__ import annotations
 
 import os
+import sys
 import time
 from collections.abc import Callable, Iterator
 
@@ -32,63 +35,84 @@ def complete_lines(path: str, position: int, end: int | None = None, most: int |
     """The lines from position to the last newline (before end, and within `most` bytes, or in the first line), and the position after it."""
     with open(path, "rb") as file:
         file.seek(position)
-        if end is not None:
-            data = file.read(end - position)
-        elif most is None:
-            data = file.read()
-        else:
-            data = file.read(most)
-            while b"\n" not in data and (more := file.read(most)):
-                data += more
+        left = sys.maxsize if end is None else end - position
+        data = file.read(-1 if end is most is None else left if most is None else min(most, left))
+        while most is not None and b"\n" not in data and (more := file.read(min(most, left - len(data)))):
+            data += more
     data = data[: data.rfind(b"\n") + 1]
     return data.decode("utf-8", "replace").splitlines(), position + len(data)
 
 
+def lines_end(path: str, position: int, end: int) -> int:
+    """The position after the last newline between position and end; position, if there is none."""
+    with open(path, "rb") as file:
+        while end > position:
+            at = max(position, end - (1 << 16))
+            file.seek(at)
+            if (found := file.read(end - at).rfind(b"\n")) >= 0:
+                return at + found + 1
+            end = at
+    return position
+
+
 class GrowingFileReader(SimpleDataSourceStreamReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, most: int = BATCH):
+        self.path, self.most = path, most
 
     def initialOffset(self) -> dict:
-        return {"generation": 0, "position": 0}
+        return {"generation": 0, "position": 0, "end": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         try:
             size = os.stat(self.path).st_size
             if size < start["position"]:
-                start = {"generation": start["generation"] + 1, "position": 0}
-            lines, position = complete_lines(self.path, start["position"], most=BATCH)
+                start = {"generation": start["generation"] + 1, "position": 0, "end": 0}
+            position, end, lines = start["position"], start["end"], []
+            if position < end <= size:
+                lines, after = complete_lines(self.path, position, end, self.most)
+            if not lines:  # a new scan; also where a file that was cut has no line up to the old end
+                end = lines_end(self.path, position, size)
+                lines, after = complete_lines(self.path, position, end, self.most)
         except OSError:  # the file is away for a while, as when it is rotated
             return iter(()), start
-        return iter([(x, start["generation"], start["position"] + k) for k, x in enumerate(lines)]), {**start, "position": position}
+        if not lines:
+            return iter(()), start
+        return self._rows(lines, start, end - after), {**start, "position": after, "end": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         position = start["position"] if start["generation"] == end["generation"] else 0
         lines, _ = complete_lines(self.path, position, end["position"])
-        return iter([(x, end["generation"], position + k) for k, x in enumerate(lines)])
+        return self._rows(lines, {**end, "position": position}, end["end"] - end["position"])
+
+    @staticmethod
+    def _rows(lines: list[str], start: dict, left: int) -> Iterator[tuple]:
+        return iter([(x, start["generation"], start["position"] + k, left) for k, x in enumerate(lines)])
 
 
 class GrowingFile(DataSource):
-    """spark.readStream.format("growing_file").option("path", ...): raw, generation, place (which orders a file's lines)."""
+    """spark.readStream.format("growing_file").option("path", ...): raw, generation, place (which orders a file's lines), left (bytes of the scan
+    after this batch). Option most: about how many bytes a batch takes."""
 
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
     def schema(self) -> str:
-        return "raw string, generation long, place long"
+        return "raw string, generation long, place long, left long"
 
     def simpleStreamReader(self, schema) -> GrowingFileReader:
-        return GrowingFileReader(self.options["path"])
+        return GrowingFileReader(self.options["path"], int(self.options["most"]))
 
 
-def lines_of(spark: SparkSession, path: str) -> DataFrame:
+def lines_of(spark: SparkSession, path: str, most: int = BATCH) -> DataFrame:
     spark.dataSource.register(GrowingFile)
-    lines = spark.readStream.format(FORMAT).option("path", path).load()
-    return lines.select(F.lit(path).alias("provenance"), "raw", F.struct("generation", "place").alias("ord"))
+    lines = spark.readStream.format(FORMAT).option("path", path).option("most", most).load()
+    return lines.select(F.lit(path).alias("provenance"), "raw", F.struct("generation", "place").alias("ord"), "left")
 
 
 class Watch:
-    """Rules over a stream of lines (provenance, raw, ord). `emit` gets a batch's number and its new findings, if there are any."""
+    """Rules over a stream of lines (provenance, raw, ord, and left, if scans have several batches). `emit` gets the number of a scan's last
+    batch and the scan's new findings, if there are any."""
 
     def __init__(self, spark: SparkSession, config: PipelineConfig, state: str, emit: Callable[[int, list[dict]], None], *, known: DataFrame | None = None, max_parse_errors: int = 0):
         check_format(config.format)
@@ -97,6 +121,7 @@ class Watch:
         self.input_events = self.matched_events = self.parse_errors = self.scans = 0
         self.seen: set[tuple[str, str]] = set()
         self.over_budget = False
+        self.untold: tuple[DataFrame, DataFrame] | None = None  # counts and moments of a scan that isn't at its end
 
     def _merged(self, name: str, batch: DataFrame, version: int, keys: list[str], *aggregates) -> DataFrame:
         old = f"{self.state}/{name}-{self.last}"
@@ -109,6 +134,7 @@ class Watch:
 
     def batch(self, lines: DataFrame, number: int) -> None:
         config = self.config
+        left = lines.select("left").first() if "left" in lines.columns else None
         parsed = parse_lines(lines, config.format).persist()
         try:
             got = parsed.agg(F.count("*"), F.count("parse_error")).first()
@@ -126,6 +152,13 @@ class Watch:
         if self.parse_errors > self.max_parse_errors:
             self.over_budget = True
             return
+        self.untold = counts, moments
+        if not (left and left[0]):
+            self.tell(number)
+
+    def tell(self, number: int) -> None:
+        """Emits what is new since the last time."""
+        config, (counts, moments), self.untold = self.config, self.untold, None
         found = rules.findings_of(counts, moments, **config.thresholds(), scoring=config.scoring, source_overrides=config.source_overrides, known=self.known)
         fresh = [f for f in rows_of(rules.ordered(found)) if (f["rule"], f["message"]) not in self.seen]
         self.seen.update((f["rule"], f["message"]) for f in fresh)
@@ -146,3 +179,5 @@ class Watch:
                     break
         finally:
             query.stop()
+        if self.untold and not self.over_budget:  # the file was cut within a scan
+            self.tell(self.last)
