@@ -11,7 +11,8 @@ where p_corpus comes from the counts of the whole corpus, and so does p(word | s
 1 / (n(symbol) + 1) kept for words not in the corpus. The vocabulary are all words of the corpus; the counts of the rarer ones are
 joined to the documents. Only the symbol depends on the sides. The network is trained on every document, on the executors: documents are
 dealt by hash to groups of about GROUP tokens, so that their number grows with the corpus; each group trains from the same
-network, and the groups' networks are averaged (as a tree) and start the next range of SHARES.
+network, and the groups' networks are averaged (as a tree) and start the next range of SHARES. Ranges and PASSES are the same for any number of
+groups, one included: no size of the corpus changes the schedule.
 
 Nulls: a null text has no words, score 0 and mean 0; null doc_ids are kept. Repeated rows score alike, and count in training as often as they occur. Empty tables give
 empty results; columns other than doc_id and text are left out.
@@ -41,8 +42,8 @@ EMBED, HIDDEN = 16, 32
 GROUP, HELD = 4_000_000, 1 << 18
 #: After the documents of each of these ranges of hashes the groups' networks are averaged.
 SHARES = (0, 1, 4, 10, 16)
-#: Passes over the documents if they are one group; more groups make one pass.
-EPOCHS = 2
+#: Passes over the documents of each range, at every size: more while the networks are new. A caller may give others.
+PASSES = (2, 2, 1, 1)
 BATCH, SEED = 4096, 23
 MIX = 0.9
 PAD = SIZE
@@ -368,7 +369,7 @@ def encoded(docs: DataFrame, symbols: Symbols, corpus: np.ndarray, counts: DataF
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row long, s binary" + (", term double, rare array<binary>" if words_apart else ""))
 
 
-def fitted(rows: DataFrame, corpus: np.ndarray, seed: int = SEED, group: int = GROUP) -> Network:
+def fitted(rows: DataFrame, corpus: np.ndarray, seed: int = SEED, group: int = GROUP, passes: tuple[int, ...] = PASSES) -> Network:
     """rows: doc_id, row, s, a written table."""
     network = Network(corpus, seed)
     groups = max(1, -(-int(corpus.sum() - SIZE) // group))
@@ -378,17 +379,17 @@ def fitted(rows: DataFrame, corpus: np.ndarray, seed: int = SEED, group: int = G
     dealt = F.when(F.col("again").isNull(), F.col("mark")).otherwise(F.xxhash64("mark", "row"))
     rows = rows.join(again, F.col("mark") == F.col("again"), "left").withColumn("mark", dealt)
     rows = rows.select(F.pmod("mark", F.lit(groups)).cast("int").alias("group"), F.pmod(F.xxhash64("mark"), F.lit(SHARES[-1])).cast("int").alias("share"), "s")
-    for lo, hi in itertools.pairwise(SHARES) if groups > 1 else [(0, SHARES[-1])]:
-        n, flat = _trained(rows.where(F.col("share").between(lo, hi - 1)), network, groups, EPOCHS if groups == 1 else 1, seed)
+    for (lo, hi), epochs in zip(itertools.pairwise(SHARES), passes, strict=True):
+        n, flat = _trained(rows.where(F.col("share").between(lo, hi - 1)), network, groups, epochs, seed)
         network.unpack(flat)
         network.tokens += n
     return network
 
 
-def train(docs: DataFrame, counts: DataFrame | None = None, seed: int = SEED, group: int = GROUP) -> tuple[Symbols, Network]:
+def train(docs: DataFrame, counts: DataFrame | None = None, seed: int = SEED, group: int = GROUP, passes: tuple[int, ...] = PASSES) -> tuple[Symbols, Network]:
     """docs: doc_id, text."""
     symbols, corpus = vocabulary(written(word_counts(docs), "word-counts") if counts is None else counts)
-    return symbols, fitted(written(encoded(docs, symbols, corpus), "encoded"), corpus, seed, group)
+    return symbols, fitted(written(encoded(docs, symbols, corpus), "encoded"), corpus, seed, group, passes)
 
 
 def _network_scores(rows: DataFrame, network: Network) -> DataFrame:

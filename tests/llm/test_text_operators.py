@@ -386,6 +386,23 @@ def test_lm_deals_repeated_rows_over_groups(spark):
     assert max(map(max, sizes)) < 90
 
 
+def test_lm_has_one_schedule_for_all_sizes(spark, monkeypatch):
+    """One group of documents or several: the same documents in the same order of ranges, with the same passes."""
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(k, " ".join(f"w{x}" for x in rng.integers(0, 50, 50))) for k in range(400)], "doc_id long, text string")
+    fit, calls = lm._trained, {}
+
+    def trained(rows, start, groups, epochs, seed):
+        calls.setdefault(groups, []).append((epochs, sorted(r["s"] for r in rows.select("s").collect())))
+        return fit(rows, start, groups, epochs, seed)
+
+    monkeypatch.setattr(lm, "_trained", trained)
+    networks = [lm.train(docs, group=group)[1] for group in (20_000, 19_999, 5_000)]
+    assert sorted(calls) == [1, 2, 4] and calls[1] == calls[2] == calls[4]
+    assert [epochs for epochs, _ in calls[1]] == list(lm.PASSES) and sum(len(some) for _, some in calls[1]) == 400
+    assert all(network.tokens == 400 * 50 for network in networks)
+
+
 def test_lm_equals_a_plain_computation(spark):
     rng = np.random.default_rng(8)
     texts = ["", "one", *(" ".join(rng.choice(["the", "cat", "sat", "on", "mat", "zyx", "qrs"], n)) for n in (2, 3, 5, 40))]
