@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from quarrylog.operators import filters, rules
 from quarrylog.plans.report import PipelineConfig, rows_of
-from quarrylog.sources.reader import check_format, parse_lines
+from quarrylog.sources.reader import check_format, parse_lines, spread
 
 FORMAT = "growing_file"
 
@@ -135,7 +135,7 @@ class Watch:
     def batch(self, lines: DataFrame, number: int) -> None:
         config = self.config
         left = lines.select("left").first() if "left" in lines.columns else None
-        parsed = parse_lines(lines, config.format).persist()
+        parsed = parse_lines(spread(lines), config.format).persist()  # a batch comes as one partition
         try:
             got = parsed.agg(F.count("*"), F.count("parse_error")).first()
             events = filters.filter_events(parsed.where(F.col("parse_error").isNull()), levels=config.levels, contains=config.contains, sources=config.sources)
